@@ -194,7 +194,7 @@ _CURVE_OUT = f"""{r("CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END", "pre
 
 
 def at_thresholds_sql(grid: str) -> str:
-    """CTEs from ``preds`` and a ``grid`` query (model_name, threshold) to ``at``."""
+    """CTEs from ``preds`` and a ``grid`` query (model_name, threshold) to ``scored_at``."""
     return f"""
 totals AS (
   SELECT model_name, CAST(sum(fire_label) AS BIGINT) AS p, CAST(sum(1 - fire_label) AS BIGINT) AS n
@@ -207,7 +207,7 @@ cum AS (
   WINDOW w AS (PARTITION BY model_name ORDER BY s DESC ROWS UNBOUNDED PRECEDING)
 ),
 grid AS ({grid}),
-at AS (
+scored_at AS (
   SELECT g.model_name, g.threshold, coalesce(c.tp, 0) AS tp, coalesce(c.fp, 0) AS fp, t.p, t.n
   FROM grid g JOIN totals t USING (model_name)
   ASOF LEFT JOIN cum c ON g.model_name = c.model_name AND g.threshold <= c.s
@@ -220,7 +220,7 @@ _GRID = "SELECT DISTINCT model_name, round_even(pred_prob, 6) AS threshold FROM
 @query(
     "threshold_curve",
     f"WITH {PREDICTIONS_SQL}, {at_thresholds_sql(_GRID)} "
-    f"SELECT model_name, threshold, {_CURVE_OUT} FROM at",
+    f"SELECT model_name, threshold, {_CURVE_OUT} FROM scored_at",
 )
 def q_threshold_curve(spark, sf_dir):
     return rounded(threshold_curve(predictions(spark, sf_dir), MODEL))
@@ -253,7 +253,7 @@ _THIN_GRID = f"""
 @query(
     "threshold_curve_thinned",
     f"WITH {PREDICTIONS_SQL}, {at_thresholds_sql(_THIN_GRID)} "
-    f"SELECT model_name, {r('threshold', 'threshold')}, {_CURVE_OUT} FROM at",
+    f"SELECT model_name, {r('threshold', 'threshold')}, {_CURVE_OUT} FROM scored_at",
 )
 def q_threshold_curve_thinned(spark, sf_dir):
     return rounded(threshold_curve_thinned(predictions(spark, sf_dir), MODEL))
@@ -268,14 +268,14 @@ picked AS (
   UNION SELECT model_name, recall_at_precision_threshold FROM metrics
   UNION SELECT model_name, recall_at_far_threshold FROM metrics
 ),
-at AS (
+scored_at AS (
   SELECT p.model_name, p.threshold, max(t.p) AS p, max(t.n) AS n,
          sum(CASE WHEN c.s >= p.threshold THEN c.pos ELSE 0 END) AS tp,
          sum(CASE WHEN c.s >= p.threshold THEN c.neg ELSE 0 END) AS fp
   FROM picked p JOIN counts c USING (model_name) JOIN totals t USING (model_name)
   WHERE p.threshold IS NOT NULL GROUP BY 1, 2
 )
-SELECT model_name, {r('threshold', 'threshold')}, {_CURVE_OUT} FROM at""",
+SELECT model_name, {r('threshold', 'threshold')}, {_CURVE_OUT} FROM scored_at""",
 )
 def q_recommended_thresholds(spark, sf_dir):
     return rounded(recommended_thresholds(predictions(spark, sf_dir), MODEL))

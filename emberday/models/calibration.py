@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,12 @@ from emberday.functions.risk import logit
 from emberday.operators.metrics import score_counts
 from emberday.operators.splits import LABEL
 
-_LOGIT = VectorAssembler(inputCols=["_logit"], outputCol="_x")
+
+def _with_logit_vector(df: DataFrame, score: str) -> DataFrame:
+    """Add ``_x``, the logit as a one-element vector; a null score counts as 0 there."""
+    x = F.coalesce(logit(F.col(score)), F.lit(0.0))
+    return df.withColumn("_x", array_to_vector(F.array(x)))
+
 
 
 def fit_platt(scored: DataFrame, label: str = LABEL, score: str = "pred_prob") -> LogisticRegressionModel:
@@ -24,7 +28,7 @@ def fit_platt(scored: DataFrame, label: str = LABEL, score: str = "pred_prob") -
     counts = score_counts(scored, [], label, score)
     rows = counts.agg(F.sum(F.col("pos") + F.col("neg"))).first()[0]
     weighted = counts.select(
-        logit(F.col("score")).alias("_logit"),
+        "score",
         F.inline(
             F.array(
                 F.struct(F.lit(1.0).alias("y"), F.col("pos").cast("double").alias("w")),
@@ -35,15 +39,14 @@ def fit_platt(scored: DataFrame, label: str = LABEL, score: str = "pred_prob") -
     return LogisticRegression(
         featuresCol="_x", labelCol="y", weightCol="w", regParam=1.0 / rows,
         elasticNetParam=0.0, standardization=False,
-    ).fit(_LOGIT.transform(weighted))
+    ).fit(_with_logit_vector(weighted, "score"))
 
 
 def apply_platt(
     model: LogisticRegressionModel, scored: DataFrame, score: str = "pred_prob"
 ) -> DataFrame:
     """Replace ``score`` by its calibrated value; null scores stay null."""
-    known = scored.withColumn("_logit", F.coalesce(logit(F.col(score)), F.lit(0.0)))
-    calibrated = model.transform(_LOGIT.transform(known))
+    calibrated = model.transform(_with_logit_vector(scored, score))
     value = F.when(F.col(score).isNotNull(), vector_to_array("probability")[1])
     return calibrated.withColumn(score, value).select(*scored.columns)
 

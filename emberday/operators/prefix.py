@@ -140,10 +140,11 @@ def sequential_ids(
     seconds (cut into cells) and the rows that share one second. Rows without a
     timestamp come last.
     """
-    second = F.coalesce(
-        F.floor(F.unix_micros(F.col(timestamp).cast("timestamp")) / 1_000_000),
-        F.lit(2**60),
-    )
+    stamp = F.col(timestamp)
+    # Wall-clock seconds: no zone takes part, so the numbers follow the order of the stamps.
+    clock = F.hour(stamp) * 3600 + F.minute(stamp) * 60 + F.second(stamp)
+    day = F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date")).cast("long")
+    second = F.coalesce(day * 86400 + clock, F.lit(2**60))
     marked = df.withColumn("_second", second)
     ahead = value_ranks(marked, [], "_second").select(
         "_second", (F.col("cum_n") - F.col("n")).alias("_ahead")
