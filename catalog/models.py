@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from emberday.operators.features import wide_features
 from emberday.operators.metrics import classification_metrics
 from emberday.operators.sequences import sequence_samples
 from emberday.operators.splits import year_split
+from emberday.session import shared_folder
 from emberday.plans.prediction import predict_for_date
 from emberday.plans.training import (
     calibration_study,
@@ -165,14 +165,5 @@ def date_score(spark, sf_dir):
 
 
 def model_folder(spark) -> str:
-    """A new folder for models, under the shared checkpoint folder where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        return tempfile.mkdtemp(prefix="emberday-models-")
-    run = spark.sparkContext.applicationId
-    return f"{shared.rstrip('/')}/emberday-models/{run}/{next(_RUNS)}"
-
-
-_RUNS = itertools.count()
+    """A new folder for models in the folder all executors share."""
+    return f"{shared_folder(spark)}/emberday/models-{uuid.uuid4().hex}"

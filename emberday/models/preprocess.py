@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
@@ -12,6 +13,8 @@ from pyspark.ml.feature import (
     TargetEncoder,
     VectorAssembler,
 )
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,20 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {r.feature: r.b.value for r in best.collect()}
 
 
+def _scales(
+    df: DataFrame, columns: Sequence[str], fill: dict[str, float]
+) -> tuple[list[float], list[float]]:
+    """Mean and population deviation of the filled columns, as one vector aggregate."""
+    if not columns:
+        return [], []
+    filled = F.array(*[F.coalesce(F.col(c), F.lit(fill[c])) for c in columns])
+    stats = df.select(
+        Summarizer.metrics("mean", "std", "count").summary(array_to_vector(filled)).alias("s")
+    ).first().s
+    population = math.sqrt((stats["count"] - 1) / stats["count"])
+    return [float(m) for m in stats["mean"]], [float(s) * population for s in stats["std"]]
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -90,14 +107,10 @@ def linear_stages(
     used = [c for c in numeric if c in middle]
     cats = [c for c in categorical if c in common]
 
-    filled = {c: F.coalesce(F.col(c), F.lit(middle[c])) for c in used}
-    stats = train.agg(
-        *[F.avg(v).alias(f"m_{i}") for i, v in enumerate(filled.values())],
-        *[F.stddev_pop(v).alias(f"s_{i}") for i, v in enumerate(filled.values())],
-    ).first()
+    means, stds = _scales(train, used, middle)
     parts = []
     for i, c in enumerate(used):
-        mean, std = stats[f"m_{i}"], stats[f"s_{i}"] or 1.0
+        mean, std = means[i], stds[i] or 1.0
         parts.append(f"(coalesce(`{c}`, {middle[c]!r}D) - ({mean!r}D)) / {std!r}D AS `{c}__z`")
     parts += [f"coalesce(`{c}`, {_sql_text(common[c])}) AS `{c}__c`" for c in cats]
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]

@@ -7,7 +7,7 @@ share that one partitioning and order: one exchange and one sort for the whole t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,31 +30,44 @@ def by_station() -> W:
     return W.partitionBy("station_id").orderBy("date")
 
 
-def _trailing(days: int) -> W:
-    return by_station().rowsBetween(-days, -1)
+def lag_columns(sources: Sequence[str], lags: Sequence[int] = LAGS) -> dict[str, Column]:
+    series = by_station()
+    return {f"{c}_lag{k}": F.lag(c, k).over(series) for k in lags for c in sources}
 
 
-def lag_columns(sources: Sequence[str], lags: Sequence[int] = LAGS) -> dict[str, Column]:
-    return {f"{c}_lag{k}": F.lag(c, k).over(by_station()) for k in lags for c in sources}
+def _trailing_columns(
+    sources: Sequence[str],
+    windows: Sequence[int],
+    suffix: str,
+    aggregate: Callable[[str], Column],
+) -> dict[str, Column]:
+    """``aggregate`` over the n rows before the current one, for every source and n."""
+    series = by_station()
+    frames = {n: series.rowsBetween(-n, -1) for n in windows}
+    return {
+        f"{c}_{suffix}_{n}": aggregate(c).over(frame)
+        for n, frame in frames.items()
+        for c in sources
+    }
 
 
 def rolling_mean_columns(
     sources: Sequence[str], windows: Sequence[int] = WINDOWS
 ) -> dict[str, Column]:
-    return {f"{c}_rollmean_{n}": F.avg(c).over(_trailing(n)) for n in windows for c in sources}
+    return _trailing_columns(sources, windows, "rollmean", F.avg)
 
 
 def rolling_sum_columns(
     sources: Sequence[str], windows: Sequence[int] = WINDOWS
 ) -> dict[str, Column]:
-    return {f"{c}_rollsum_{n}": F.sum(c).over(_trailing(n)) for n in windows for c in sources}
+    return _trailing_columns(sources, windows, "rollsum", F.sum)
 
 
 def rolling_mode_columns(
     sources: Sequence[str], windows: Sequence[int] = WINDOWS
 ) -> dict[str, Column]:
     """Most frequent value of the trailing rows, ties to the smallest, nulls ignored."""
-    return {f"{c}_mode_{n}": F.mode(c, True).over(_trailing(n)) for n in windows for c in sources}
+    return _trailing_columns(sources, windows, "mode", lambda c: F.mode(c, True))
 
 
 def with_dry_spell(df: DataFrame, precip: str = "is_precip_day") -> DataFrame:
@@ -96,7 +109,7 @@ def feature_names() -> list[str]:
     """Model inputs: static and calendar columns plus the generated history columns."""
     names = [
         *STATIC_FEATURES,
-        *lag_columns_names(CURRENT_DAY),
+        *[f"{c}_lag{k}" for k in LAGS for c in CURRENT_DAY],
         *[f"{c}_rollmean_{n}" for n in WINDOWS for c in (*CONTINUOUS, *QUALITY)],
         *[f"{c}_rollsum_{n}" for n in WINDOWS for c in BINARY],
         *[f"{SKY}_mode_{n}" for n in WINDOWS],
@@ -108,10 +121,6 @@ def feature_names() -> list[str]:
     return names
 
 
-def lag_columns_names(sources: Sequence[str], lags: Sequence[int] = LAGS) -> list[str]:
-    return [f"{c}_lag{k}" for k in lags for c in sources]
-
-
 def categorical_names() -> list[str]:
     return [
         "station_id",

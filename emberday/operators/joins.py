@@ -3,23 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def join_null_safe(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Hash-joinable equality on ``keys`` that also pairs null with null."""
-    marked = right.select(
-        *[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    condition = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    )
-    return left.join(marked, condition, how).drop(*[f"__{k}" for k in keys])
 
 
 def with_suffix_on_clash(

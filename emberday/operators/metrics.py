@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberday.functions.risk import finite_or_null
-from emberday.operators.joins import join_null_safe
 from emberday.operators.prefix import running_totals
 
 LABEL = "fire_label"
@@ -26,19 +25,28 @@ CURVE_DIGITS = 6
 LOG_LOSS_EPS = 2.220446049250313e-16
 
 
-def score_counts(
-    df: DataFrame, keys: Sequence[str], label: str = LABEL, score: str = SCORE
-) -> DataFrame:
-    """(keys, score, pos, neg): label counts of every distinct score.
+def _known_scores(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
+    """(keys, score, pos, neg) per row.
 
-    Rows without a label or with a null or NaN score cannot be ranked and are left out.
+    Rows without a label, with a null or NaN score, or without a key belong to no group
+    that could be ranked and are left out.
     """
+    known = F.col("score").isNotNull() & F.col("pos").isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
     y = F.col(label).cast("long")
+    p = finite_or_null(F.col(score).cast("double"))
+    return df.select(*keys, p.alias("score"), y.alias("pos"), (1 - y).alias("neg")).filter(known)
+
+
+def score_counts(
+    df: DataFrame, keys: Sequence[str], label: str = LABEL, score: str = SCORE
+) -> DataFrame:
+    """(keys, score, pos, neg): label counts of every distinct score."""
     return (
-        df.select(*keys, y.alias("_y"), finite_or_null(F.col(score).cast("double")).alias("score"))
-        .filter(F.col("score").isNotNull() & F.col("_y").isNotNull())
+        _known_scores(df, keys, label, score)
         .groupBy(*keys, "score")
-        .agg(F.sum("_y").alias("pos"), F.sum(F.lit(1) - F.col("_y")).alias("neg"))
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
 
 
@@ -226,7 +234,11 @@ def metrics_at_thresholds(
         .groupBy(*keys, "score")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("asked").alias("asked"))
     )
-    curve = cumulative_counts(merged, keys).filter(F.col("asked") == 1)
+    return _metrics_where_asked(merged, keys)
+
+
+def _metrics_where_asked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    curve = cumulative_counts(counts, keys).filter(F.col("asked") == 1)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     fn, tn = F.col("all_pos") - tp, F.col("all_neg") - fp
     rates = confusion_metrics(tp, fp, fn, tn)
@@ -254,9 +266,28 @@ def threshold_curve(
     score: str = SCORE,
     digits: int = CURVE_DIGITS,
 ) -> DataFrame:
-    """Metrics at every distinct rounded score."""
-    counts = score_counts(df, keys, label, score)
-    return metrics_at_thresholds(counts, rounded_grid(counts, keys, digits), keys)
+    """Metrics at every distinct rounded score.
+
+    Each row gives its score and, counting nothing, its rounded score, so one
+    aggregation yields the scores and the thresholds among them.
+    """
+    nothing = F.lit(0).cast("long")
+    both = F.array(
+        F.struct("score", "pos", "neg", nothing.alias("asked")),
+        F.struct(
+            F.bround("score", digits).alias("score"),
+            nothing.alias("pos"),
+            nothing.alias("neg"),
+            F.lit(1).cast("long").alias("asked"),
+        ),
+    )
+    counts = (
+        _known_scores(df, keys, label, score)
+        .select(*keys, F.inline(both))
+        .groupBy(*keys, "score")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("asked").alias("asked"))
+    )
+    return _metrics_where_asked(counts, keys)
 
 
 def threshold_curve_thinned(
@@ -301,9 +332,7 @@ def thinned_grid(grid: DataFrame, keys: Sequence[str], max_points: int) -> DataF
     needed = spots.select(
         *keys, "i", "weight", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "low", "n"
     ).withColumn("rank", F.least(F.col("low") + F.col("side"), F.col("n") - 1).cast("long"))
-    values = join_null_safe(
-        needed.drop("n", "low"), ranked.drop("n"), [*keys, "rank"]
-    ).groupBy(*keys, "i", "weight").agg(
+    values = needed.drop("n", "low").join(ranked.drop("n"), [*keys, "rank"]).groupBy(*keys, "i", "weight").agg(
         F.max(F.when(F.col("side") == 0, F.col("threshold"))).alias("a"),
         F.max(F.when(F.col("side") == 1, F.col("threshold"))).alias("b"),
     )

@@ -17,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberday.operators.joins import join_null_safe
-
 _STEPS = 32767
 _ZOOM = float(2**30)
 MAX_CELLS = 3 * _STEPS + 1
@@ -34,10 +32,8 @@ def order_cell(unit: Column) -> Column:
     log_range = F.lit(math.log1p(_ZOOM))
     near_zero = F.log1p(u * _ZOOM) / log_range
     near_one = F.lit(1.0) - F.log1p((F.lit(1.0) - u) * _ZOOM) / log_range
-    return sum(
-        (F.floor(part * F.lit(float(_STEPS))) for part in (u, near_zero, near_one)),
-        F.lit(0),
-    ).cast("int")
+    steps = [F.floor(part * F.lit(float(_STEPS))) for part in (u, near_zero, near_one)]
+    return F.coalesce((steps[0] + steps[1] + steps[2]).cast("int"), F.lit(0))
 
 
 def running_totals(
@@ -50,8 +46,9 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums ``cum_*`` and key totals ``all_*`` of integer columns.
 
-    ``df`` holds one row per (keys, value); ``unit`` is a non-decreasing function of
-    ``value`` scaled to 0..1.
+    ``df`` holds one row per (keys, value), keys not null; ``unit`` is a non-decreasing
+    function of ``value`` scaled to 0..1. The window inside the cells and the join of
+    the offsets share one partitioning and order, so rows are exchanged once.
     """
     direction = F.desc if descending else F.asc
     celled = df.withColumn("_cell", order_cell(unit))
@@ -73,7 +70,7 @@ def running_totals(
     )
     local = celled.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums])
     return (
-        join_null_safe(local, offsets, [*keys, "_cell"])
+        local.join(offsets, [*keys, "_cell"])
         .withColumns({f"cum_{s}": F.col(f"_in_{s}") + F.col(f"_before_{s}") for s in sums})
         .drop("_cell", *[f"_in_{s}" for s in sums], *[f"_before_{s}" for s in sums])
     )
@@ -82,21 +79,25 @@ def running_totals(
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct numeric values per key with their counts and running counts, ascending.
 
-    Gives (keys, value, n, cum_n, all_n); nulls are left out.
+    Gives (keys, value, n, cum_n, all_n); null values and null keys are left out.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    )
+    known = F.col(value).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    counts = df.filter(known).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     number = F.col(value).cast("double")
+    # Taking the row total along keeps this on top of the counts, not of the raw rows.
+    spans = counts.groupBy(*keys).agg(
+        F.min(value).cast("double").alias("_lo"),
+        F.max(value).cast("double").alias("_hi"),
+        F.sum("n").alias("_rows"),
+    )
     if keys:
-        spans = counts.groupBy(*keys).agg(
-            F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")
-        )
-        counts = join_null_safe(counts, spans, keys)
+        counts = counts.join(spans.filter(F.col("_rows") > 0).drop("_rows"), list(keys))
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
-        lo = counts.select(F.min(value).cast("double")).scalar()
-        hi = counts.select(F.max(value).cast("double")).scalar()
+        span = spans.select(F.when(F.col("_rows") > 0, F.struct("_lo", "_hi"))).scalar()
+        lo, hi = span.getField("_lo"), span.getField("_hi")
     unit = F.try_divide(number - lo, hi - lo)
     return running_totals(counts, keys, value, ["n"], unit).drop("_lo", "_hi")
 

@@ -35,7 +35,7 @@ from emberday.operators.splits import (
     time_split,
     yearly_folds,
 )
-from emberday.session import checkpointed
+from emberday.session import written
 from emberday.sources.tables import MODEL_META_SCHEMA
 
 FITTERS = {"logistic": fit_logistic, "boosted": fit_boosted}
@@ -69,7 +69,7 @@ def holdout_predictions(
     features = features or wide_feature_set()
     if split is None:
         split = time_split(training_frame(table, features), holdout_days)
-    split = checkpointed(split)
+    split = written(split, "split")
     summary = split_summary(split)
     require_two_classes(summary)
     fit = fit_model(split_part(split, "train"), kind, features, **params)
@@ -81,7 +81,7 @@ def sequence_holdout(
     samples: DataFrame, holdout_days: int = DEFAULT_HOLDOUT_DAYS, **params
 ) -> DataFrame:
     """Fit the sequence classifier on all but the holdout and score the holdout."""
-    split = checkpointed(time_split(samples, holdout_days))
+    split = written(time_split(samples, holdout_days), "samples")
     require_two_classes(split_summary(split))
     train = split.select("station_id", "date", "split")
     fit, vectors = fit_sequence(split, F.col("split") == "train", **params)
@@ -183,13 +183,13 @@ def calibration_study(
     Returns (ranked metrics, calibration bins, test predictions), each keyed by method.
     """
     features = features or wide_feature_set()
-    split = checkpointed(
-        three_way_split(training_frame(table, features), holdout_days, calibration_days)
+    split = written(
+        three_way_split(training_frame(table, features), holdout_days, calibration_days), "split"
     )
     require_two_classes(split_summary(split), ("train", "calibration", "test"))
     fit = fit_model(split_part(split, "train"), kind, features, **params)
     scored = {
-        part: checkpointed(score(fit, split_part(split, part), part, keep=[LABEL]))
+        part: written(score(fit, split_part(split, part), part, keep=[LABEL]), part)
         for part in ("calibration", "test")
     }
     calibration, test = scored["calibration"], scored["test"].drop("model_name")
@@ -221,7 +221,7 @@ def rolling_backtest(
     over the years; each fit and each scoring is a distributed job.
     """
     features = features or wide_feature_set()
-    data = checkpointed(training_frame(table, features))
+    data = written(training_frame(table, features), "backtest")
     folds = yearly_folds(data, start_year, end_year, min_train_rows)
     years = [
         r.test_year

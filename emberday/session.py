@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,19 +34,26 @@ def build_session(app_name: str = "emberday", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; on a local master without one, a new temporary one."""
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if folder is not None:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="emberday-")
+    spark.conf.set(CHECKPOINT_CONF, folder)
+    return folder
 
-    Used where a frame feeds many jobs (iterative fits), so that a lost executor
-    re-reads files instead of recomputing the whole history of the frame.
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, read back.
+
+    Used where a frame feeds many jobs (iterative fits): it is computed once, later jobs
+    read only the columns they need, and a lost executor re-reads files instead of
+    recomputing the whole history of the frame.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError(f"{CHECKPOINT_CONF} must name a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="emberday-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/emberday/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
