@@ -17,10 +17,10 @@ from emberday.operators.base import fire_labels, station_day_base
 from emberday.operators.daily import daily_base
 from emberday.operators.features import wide_features
 from emberday.operators.forecast import before_target_day, daily_forecast, normalise_forecast
-from emberday.operators.hourly import HOURLY_COLUMNS, hourly_observations
+from emberday.operators.hourly import HOURLY_COLUMNS
 from emberday.operators.quality import require_valid_base
 from emberday.operators.sequences import sequence_samples
-from emberday.sources.csv_files import read_csv_folder
+from emberday.sources.csv_files import read_hourly_folder
 from emberday.sources.sinks import adopt_base_snapshot, write_base, write_json
 from emberday.sources.tables import default_stations, stations_from_contract
 
@@ -105,13 +105,10 @@ def contract_base(
     return station_day_base(daily, stations, fire_labels(labels))
 
 
-def prepared_base(
-    raw_weather: DataFrame, events: DataFrame, stations: DataFrame
-) -> DataFrame:
-    """The base table from prepared hourly files, an event table and a station registry."""
-    known = stations.select("station_id")
-    hourly = hourly_observations(raw_weather).join(known, "station_id", "left_semi")
-    return station_day_base(daily_base(hourly), stations, fire_labels(events))
+def prepared_base(hourly: DataFrame, events: DataFrame, stations: DataFrame) -> DataFrame:
+    """The base table from prepared hourly rows, an event table and a station registry."""
+    known = hourly.join(stations.select("station_id"), "station_id", "left_semi")
+    return station_day_base(daily_base(known), stations, fire_labels(events))
 
 
 def build_datasets(
@@ -127,7 +124,7 @@ def build_datasets(
     """
     registry = default_stations(spark) if stations is None else stations
     base = prepared_base(
-        read_csv_folder(spark, weather_folder), spark.read.parquet(events_path), registry
+        read_hourly_folder(spark, weather_folder), spark.read.parquet(events_path), registry
     )
     base_path = f"{output_folder}/station_day_base"
     write_base(base, base_path)

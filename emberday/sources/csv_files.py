@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberday.functions.parsing import pick_column
+from emberday.operators.hourly import hourly_observations
 
 FALLBACK_ENCODING = "cp949"
 _PEEK_BYTES = 1 << 16
@@ -54,11 +55,10 @@ def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
     return listing.mapInPandas(_peek, "path string, length long, header string, encoding string")
 
 
-def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """All files as text columns, united by name, with ``__source_file``.
+def csv_groups(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[DataFrame]:
+    """One frame of text columns per distinct header and encoding, with ``__source_file``.
 
-    Files are grouped by header and encoding and every group is one scan; the groups,
-    not the files, are what the driver loops over. Columns a group lacks become null.
+    The driver loops over the groups, not the files; every group is one scan.
     """
     groups = (
         file_headers(spark, folder, pattern)
@@ -71,8 +71,25 @@ def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
         raise FileNotFoundError(f"no {pattern} in {folder}")
     if any(g.encoding == FALLBACK_ENCODING for g in groups):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    frames = [_read_group(spark, g.paths, g.encoding) for g in groups]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return [_read_group(spark, g.paths, g.encoding) for g in groups]
+
+
+def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """All files as text columns, united by name; columns a file lacks become null."""
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), csv_groups(spark, folder, pattern)
+    )
+
+
+def read_hourly_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """Typed hourly rows of all files; names are resolved per header, before the union.
+
+    So files that call the same column differently all contribute their rows.
+    """
+    return reduce(
+        DataFrame.unionByName,
+        [hourly_observations(group) for group in csv_groups(spark, folder, pattern)],
+    )
 
 
 def _read_group(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
