@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 # Numbers that stand for "no measurement" in the raw files.
 MISSING_SENTINELS = (-99, -999, -9999)
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
 def pick_column(columns: Sequence[str], candidates: Iterable[str]) -> str | None:
     """First candidate present in ``columns``, ignoring case and outer blanks.
 
@@ -24,9 +21,13 @@ def pick_column(columns: Sequence[str], candidates: Iterable[str]) -> str | None
 
 
 def to_number(text: Column) -> Column:
-    """Text to double; anything that is not a plain decimal number becomes null."""
+    """Text to double; anything that is not a plain decimal number becomes null.
+
+    The cast alone would also take "5d", "NaN" or "Infinity"; a decimal number ends with
+    a digit or a point, which costs less to test than a pattern.
+    """
     trimmed = F.trim(text.cast("string"))
-    return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
+    return F.when(F.substring(trimmed, -1, 1).between(".", "9"), trimmed.try_cast("double"))
 
 
 def drop_sentinels(number: Column) -> Column:
@@ -41,32 +42,39 @@ def clean_code(text: Column) -> Column:
     return F.upper(F.trim(text.cast("string")))
 
 
-def _iso_text(text: Column, *digits: int) -> Column:
-    """Rewrite digit strings of the listed lengths as ISO text; other text is kept.
+def _slices_as_iso(text: Column, *lengths: int) -> Column:
+    """Text of one of the listed lengths cut up as if it were digits, with ISO separators.
 
-    The ISO text is cast to TIMESTAMP_NTZ directly, so the result never passes through a
-    zoned type, whatever the session's time zone or default timestamp type is.
+    Anything but a real digit string fails the cast that follows. The ISO text is cast to
+    TIMESTAMP_NTZ directly, so the result never passes through a zoned type, whatever the
+    session's time zone or default timestamp type is.
     """
-    shapes = {
-        8: (r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3"),
-        12: (r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:00"),
-        14: (r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6"),
-    }
-    for length in digits:
-        pattern, iso = shapes[length]
-        text = F.regexp_replace(text, pattern, iso)
-    return text
+
+    def part(start: int, size: int) -> Column:
+        return F.substring(text, start, size)
+
+    day = F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))
+    minute = F.concat(day, F.lit("T"), part(9, 2), F.lit(":"), part(11, 2))
+    shapes = {8: day, 12: minute, 14: F.concat(minute, F.lit(":"), part(13, 2))}
+    size, (first, *others) = F.length(text), lengths
+    iso = F.when(size == first, shapes[first])
+    for length in others:
+        iso = iso.when(size == length, shapes[length])
+    return iso
 
 
 def parse_obs_timestamp(text: Column) -> Column:
     """Minute digits, second digits, day digits, or ISO-like text; else null."""
-    return _iso_text(F.trim(text.cast("string")), 12, 14, 8).try_cast("timestamp_ntz")
+    trimmed = F.trim(text.cast("string"))
+    return F.coalesce(
+        _slices_as_iso(trimmed, 12, 14, 8).try_cast("timestamp_ntz"),
+        trimmed.try_cast("timestamp_ntz"),
+    )
 
 
 def parse_event_timestamp(text: Column) -> Column:
     """Event time from the first twelve characters of a digit string."""
-    head = F.substring(text.cast("string"), 1, 12)
-    return F.when(head.rlike(r"^\d{12}$"), _iso_text(head, 12).try_cast("timestamp_ntz"))
+    return _slices_as_iso(F.substring(text.cast("string"), 1, 12), 12).try_cast("timestamp_ntz")
 
 
 def parse_day_digits(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberday.functions.parsing import (
     clean_code,
-    clean_measure,
+    drop_sentinels,
     parse_daily_date,
     parse_obs_timestamp,
     pick_column,
@@ -81,13 +81,18 @@ def hourly_observations(
     typed = named.select(
         to_number(F.col("station_id")).cast("int").alias("station_id"),
         parse_obs_timestamp(F.col("obs_ts")).alias("obs_ts"),
-        *[clean_measure(F.col(m)).alias(m) for m in MEASURES],
+        *[to_number(F.col(m)).alias(m) for m in MEASURES],
         clean_code(F.col("SKY")).alias("SKY"),
     ).filter(F.col("station_id").isNotNull() & F.col("obs_ts").isNotNull())
     if stations is not None:
         typed = typed.filter(F.col("station_id").isin(*stations))
+    # A projection of its own, so that a number is parsed once and then compared.
     return typed.withColumns(
-        {"date": F.to_date("obs_ts"), "hour": F.hour("obs_ts")}
+        {
+            **{m: drop_sentinels(F.col(m)) for m in MEASURES},
+            "date": F.to_date("obs_ts"),
+            "hour": F.hour("obs_ts"),
+        }
     ).select(*HOURLY_COLUMNS)
 
 
