@@ -79,7 +79,9 @@ def gbt_fit_score(spark, sf_dir):
 
 @query("sequence_fit_score")
 def sequence_fit_score(spark, sf_dir):
-    return rounded(sequence_holdout(sequence_samples(flag_base(spark, sf_dir)), max_iter=50))
+    samples = sequence_samples(flag_base(spark, sf_dir))
+    _, scored, _ = sequence_holdout(samples, max_iter=50)
+    return rounded(scored)
 
 
 @query("legacy_fit")

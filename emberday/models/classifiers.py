@@ -19,7 +19,7 @@ from emberday.models.preprocess import (
 )
 from emberday.operators.features import categorical_names, feature_names
 from emberday.operators.metrics import classification_metrics
-from emberday.operators.sequences import flattened, standardised
+from emberday.operators.sequences import fit_scale, flattened, standardised
 from emberday.operators.splits import LABEL, class_weights, holdout_cutoff
 
 # Inputs of the older daily models.
@@ -224,44 +224,52 @@ def coefficients(fit: Fit) -> list[tuple[str, float]]:
 
 @dataclass
 class SequenceFit:
-    """Sequence classifier: statistics live in ``train``, the weights in ``model``."""
+    """Sequence classifier: channel scales of the training rows and the fitted weights."""
 
     model: PipelineModel
+    scale: dict[str, list[float]]
+    params: dict = field(default_factory=dict)
     kind: str = "sequence"
 
 
-def fit_sequence(
-    samples: DataFrame, train_filter, label: str = LABEL, max_iter: int = 1000
-) -> tuple[SequenceFit, DataFrame]:
-    """Balanced logistic regression on the standardised, flattened 14-day histories.
+def _sequence_vectors(samples: DataFrame, scale: dict[str, list[float]]) -> DataFrame:
+    flat = flattened(standardised(samples, scale))
+    return flat.withColumn(
+        "features", array_to_vector(F.transform("x_flat", lambda v: v.cast("double")))
+    )
 
-    Returns the fit and all samples with their vector, standardised by the train rows.
-    """
-    train = samples.filter(train_filter)
-    vectors = flattened(standardised(samples, train)).select(
-        "station_id",
-        "date",
-        F.col(label).cast("double").alias(label),
-        array_to_vector(F.transform("x_flat", lambda v: v.cast("double"))).alias("features"),
+
+def fit_sequence(train: DataFrame, label: str = LABEL, max_iter: int = 1000) -> SequenceFit:
+    """Balanced logistic regression on the standardised, flattened 14-day histories."""
+    scale = {f: list(v) for f, v in fit_scale(train).first().asDict().items()}
+    rows, positive, _ = _class_counts(train, label)
+    ready = (
+        _sequence_vectors(train, scale)
+        .select(
+            F.col(label).cast("double").alias(label),
+            "features",
+            balanced_weight(F.col(label), rows, positive).alias("weight"),
+        )
+        .persist()
     )
-    ready = vectors.filter(train_filter).persist()
     try:
-        rows, positive, _ = _class_counts(ready, label)
-        weighted = ready.withColumn("weight", balanced_weight(F.col(label), rows, positive))
         fitted = LogisticRegression(
             labelCol=label, weightCol="weight", regParam=1.0 / rows,
             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-        ).fit(weighted)
+        ).fit(ready)
     finally:
         ready.unpersist()
-    return SequenceFit(PipelineModel([fitted])), vectors
+    params = {"class_weight": "balanced", "max_iter": max_iter, "reg_param": 1.0 / rows}
+    return SequenceFit(PipelineModel([fitted]), scale, params)
 
 
-def score_sequence(fit: SequenceFit, vectors: DataFrame, model_name: str = "sequence") -> DataFrame:
-    return fit.model.transform(vectors).select(
+def score_sequence(
+    fit: SequenceFit, samples: DataFrame, model_name: str = "sequence", keep: Sequence[str] = ()
+) -> DataFrame:
+    return fit.model.transform(_sequence_vectors(samples, fit.scale)).select(
         F.lit(model_name).alias("model_name"),
         "station_id",
         "date",
-        F.col(LABEL).cast("int").alias(LABEL),
+        *keep,
         vector_to_array("probability")[1].alias("pred_prob"),
     )

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberday.session import written
+
 _STEPS = 32767
 _ZOOM = float(2**30)
 MAX_CELLS = 3 * _STEPS + 1
@@ -39,7 +41,7 @@ def order_cell(unit: Column) -> Column:
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
+    value: str | Sequence[str],
     sums: Sequence[str],
     unit: Column,
     descending: bool = False,
@@ -47,10 +49,12 @@ def running_totals(
     """Add inclusive running sums ``cum_*`` and key totals ``all_*`` of integer columns.
 
     ``df`` holds one row per (keys, value), keys not null; ``unit`` is a non-decreasing
-    function of ``value`` scaled to 0..1. The window inside the cells and the join of
+    function of ``value`` scaled to 0..1. ``value`` may be several columns, the unit then
+    follows the first. The window inside the cells and the join of
     the offsets share one partitioning and order, so rows are exchanged once.
     """
     direction = F.desc if descending else F.asc
+    order = [value] if isinstance(value, str) else list(value)
     celled = df.withColumn("_cell", order_cell(unit))
 
     cells = celled.groupBy(*keys, "_cell").agg(*[F.sum(s).alias(s) for s in sums])
@@ -65,7 +69,7 @@ def running_totals(
 
     inside = (
         W.partitionBy(*keys, "_cell")
-        .orderBy(direction(value))
+        .orderBy(*[direction(v) for v in order])
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = celled.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums])
@@ -135,25 +139,47 @@ def dense_index(df: DataFrame, value: str, index: str) -> DataFrame:
 def sequential_ids(
     df: DataFrame, id_col: str, timestamp: str, tie_order: Sequence[str]
 ) -> DataFrame:
-    """0-based row numbers in (timestamp, tie_order) order.
+    """0-based row numbers in (timestamp, tie_order) order; rows without a timestamp last.
 
-    Rows are counted per second first, so the only ordered windows are the distinct
-    seconds (cut into cells) and the rows that share one second. Rows without a
-    timestamp come last.
+    The first of ``tie_order`` is numeric. Equal rows are counted per input partition, so
+    neither one crowded moment nor one row copied many times is numbered in one task: the
+    counts are added up over moments, then over ties inside a moment, and only rows that
+    tie inside one input partition are numbered one by one. The input is written out
+    first, since the row positions it is numbered by must not change on a retry.
     """
     stamp = F.col(timestamp)
-    # Wall-clock seconds: no zone takes part, so the numbers follow the order of the stamps.
-    clock = F.hour(stamp) * 3600 + F.minute(stamp) * 60 + F.second(stamp)
-    day = F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date")).cast("long")
-    second = F.coalesce(day * 86400 + clock, F.lit(2**60))
-    marked = df.withColumn("_second", second)
-    ahead = value_ranks(marked, [], "_second").select(
-        "_second", (F.col("cum_n") - F.col("n")).alias("_ahead")
+    # Wall-clock microseconds: no zone takes part, so they follow the order of the stamps.
+    days = F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date")).cast("long")
+    minutes = days * 1440 + F.hour(stamp) * 60 + F.minute(stamp)
+    micros = (F.date_part(F.lit("SECONDS"), stamp) * 1_000_000).cast("long")
+    placed = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows").withColumns(
+        {
+            "_moment": F.coalesce(minutes * 60_000_000 + micros, F.lit(2**60)),
+            "_tie": F.struct(*tie_order),
+            "_part": F.shiftright("_row", 33),
+        }
+    )
+    ties = placed.groupBy("_moment", "_tie", "_part").agg(F.count(F.lit(1)).alias("n"))
+    span = placed.agg(
+        F.struct(
+            F.min(tie_order[0]).cast("double").alias("lo"),
+            F.max(tie_order[0]).cast("double").alias("hi"),
+        )
+    ).scalar()
+    unit = F.try_divide(
+        F.col("_tie")[tie_order[0]].cast("double") - span["lo"], span["hi"] - span["lo"]
+    )
+    within = running_totals(ties, ["_moment"], ["_tie", "_part"], ["n"], unit).select(
+        "_moment", "_tie", "_part", (F.col("cum_n") - F.col("n")).alias("_inside")
+    )
+    before = value_ranks(placed, [], "_moment").select(
+        "_moment", (F.col("cum_n") - F.col("n")).alias("_ahead")
     )
-    same_second = W.partitionBy("_second").orderBy(timestamp, *tie_order)
+    alike = W.partitionBy("_moment", "_tie", "_part").orderBy("_row")
     return (
-        marked.withColumn("_place", F.row_number().over(same_second))
-        .join(ahead, "_second")
-        .withColumn(id_col, F.col("_ahead") + F.col("_place") - 1)
-        .drop("_second", "_place", "_ahead")
+        placed.withColumn("_place", F.row_number().over(alike))
+        .join(within, ["_moment", "_tie", "_part"])
+        .join(before, "_moment")
+        .withColumn(id_col, F.col("_ahead") + F.col("_inside") + F.col("_place") - 1)
+        .select(*df.columns, id_col)
     )

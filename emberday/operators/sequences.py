@@ -102,31 +102,39 @@ def _long_stats(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-def standardised(samples: DataFrame, train: DataFrame) -> DataFrame:
-    """Scale both arrays with the statistics of ``train``; one-row scalars, no join."""
+SCALE_FIELDS = ("dyn_mean", "dyn_std", "static_mean", "static_std")
 
-    def as_array(stats: DataFrame, field: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.struct("channel_index", field)))
-        return stats.select(F.transform(ordered, lambda s: s.getField(field))).scalar()
 
-    dyn, static = channel_stats(train), static_stats(train)
-    means, stds = as_array(dyn, "mean"), as_array(dyn, "std")
-    s_means, s_stds = as_array(static, "mean"), as_array(static, "std")
+def fit_scale(train: DataFrame) -> DataFrame:
+    """One row of four short arrays: mean and deviation per dynamic and static channel."""
 
-    def scaled(values: Column, mean: Column, std: Column) -> Column:
-        centred = F.zip_with(values, mean, lambda v, m: v - m)
-        return F.zip_with(centred, std, lambda v, s: (v / s).cast("float"))
+    def listed(stats: DataFrame, mean: str, std: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("channel_index", "mean", "std")))
+        return stats.agg(ordered.alias("s")).select(
+            F.col("s.mean").alias(mean), F.col("s.std").alias(std)
+        )
+
+    dynamic = listed(channel_stats(train), *SCALE_FIELDS[:2])
+    static = listed(static_stats(train), *SCALE_FIELDS[2:])
+    return dynamic.select("*", *[static.select(f).scalar().alias(f) for f in SCALE_FIELDS[2:]])
+
+
+def standardised(samples: DataFrame, scale: dict[str, Sequence[float]]) -> DataFrame:
+    """Scale both arrays with the values of ``fit_scale``."""
+
+    def constant(field: str) -> Column:
+        return F.array(*[F.lit(float(v)) for v in scale[field]])
+
+    def scaled(values: Column, part: str) -> Column:
+        centred = F.zip_with(values, constant(f"{part}_mean"), lambda v, m: v - m)
+        return F.zip_with(centred, constant(f"{part}_std"), lambda v, s: (v / s).cast("float"))
 
     return samples.withColumns(
         {
-            "_m": means, "_s": stds, "_sm": s_means, "_ss": s_stds,
-        }
-    ).withColumns(
-        {
-            "x_dyn": F.transform("x_dyn", lambda step: scaled(step, F.col("_m"), F.col("_s"))),
-            "x_static": scaled(F.col("x_static"), F.col("_sm"), F.col("_ss")),
+            "x_dyn": F.transform("x_dyn", lambda step: scaled(step, "dyn")),
+            "x_static": scaled(F.col("x_static"), "static"),
         }
-    ).drop("_m", "_s", "_sm", "_ss")
+    )
 
 
 def flattened(samples: DataFrame, output: str = "x_flat") -> DataFrame:

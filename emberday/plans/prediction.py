@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberday.models.classifiers import score_model
+from emberday.models.classifiers import score_model, score_sequence
 from emberday.operators.base import station_dimension
 from emberday.operators.scoring import prediction_table, resolved_thresholds, rows_of_date
-from emberday.plans.training import load_fit
+from emberday.plans.training import load_fit, load_sequence
 
 
 def predict_for_date(
@@ -19,31 +19,27 @@ def predict_for_date(
     target_date: str,
     folder: str,
     model_names: Sequence[str],
-    sequence_scores: DataFrame | None = None,
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions of the named models for every station on ``target_date``.
 
-    The date filter sits on the scan of the feature table. Scores of the sequence
-    model, made from its own samples, can be handed in and are treated alike.
+    The date filter sits on the scan of the feature table. With ``samples`` the stored
+    sequence model scores that date's histories as well.
     """
-    day = rows_of_date(wide, target_date)
-    loaded = {name: load_fit(spark, folder, name) for name in model_names}
-    scores = [
-        score_model(fit.model, day, fit.features, name, fill=fit.kind == "boosted")
-        for name, (fit, _) in loaded.items()
-    ]
-    if sequence_scores is not None:
-        scores.append(
-            rows_of_date(sequence_scores, target_date).select(
-                "model_name", "station_id", "date", "pred_prob"
-            )
-        )
-    if not scores:
+    if not model_names and samples is None:
         raise ValueError("no model named")
-    thresholds = reduce(
-        DataFrame.unionByName, [resolved_thresholds(meta) for _, meta in loaded.values()]
-    ) if loaded else None
-    pooled = reduce(DataFrame.unionByName, scores)
-    if thresholds is None:
-        thresholds = spark.createDataFrame([], "model_name string, alert_threshold double")
-    return prediction_table(pooled, thresholds, station_dimension(day))
+    day = rows_of_date(wide, target_date)
+    scores, metas = [], []
+    for name in model_names:
+        fit, meta = load_fit(spark, folder, name)
+        scores.append(score_model(fit.model, day, fit.features, name, fill=fit.kind == "boosted"))
+        metas.append(meta)
+    if samples is not None:
+        fit, meta = load_sequence(spark, folder)
+        scores.append(score_sequence(fit, rows_of_date(samples, target_date)))
+        metas.append(meta)
+    return prediction_table(
+        reduce(DataFrame.unionByName, scores),
+        resolved_thresholds(reduce(DataFrame.unionByName, metas)),
+        station_dimension(day),
+    )

@@ -13,6 +13,7 @@ from emberday.models.calibration import apply_isotonic, apply_platt, fit_isotoni
 from emberday.models.classifiers import (
     FeatureSet,
     Fit,
+    SequenceFit,
     fit_boosted,
     fit_logistic,
     fit_sequence,
@@ -24,7 +25,9 @@ from emberday.models.classifiers import (
 )
 from emberday.operators.features import CURRENT_DAY
 from emberday.operators.metrics import calibration_bins, classification_metrics
+from emberday.operators.scoring import SEQUENCE_MODEL
 from emberday.operators.selection import rank_calibrations
+from emberday.operators.sequences import CHANNELS, SCALE_FIELDS, STATIC_CHANNELS
 from emberday.operators.splits import (
     DEFAULT_CALIBRATION_DAYS,
     DEFAULT_HOLDOUT_DAYS,
@@ -36,8 +39,9 @@ from emberday.operators.splits import (
     yearly_folds,
 )
 from emberday.session import written
-from emberday.sources.tables import MODEL_META_SCHEMA
+from emberday.sources.tables import MODEL_META_SCHEMA, read_model_meta
 
+_SCALE_SCHEMA = ", ".join(f"{name} array<double>" for name in SCALE_FIELDS)
 FITTERS = {"logistic": fit_logistic, "boosted": fit_boosted}
 
 
@@ -79,31 +83,35 @@ def holdout_predictions(
 
 def sequence_holdout(
     samples: DataFrame, holdout_days: int = DEFAULT_HOLDOUT_DAYS, **params
-) -> DataFrame:
-    """Fit the sequence classifier on all but the holdout and score the holdout."""
+) -> tuple[SequenceFit, DataFrame, DataFrame]:
+    """Fit the sequence classifier on all but the holdout and score the holdout.
+
+    Returns the fit, (model_name, station_id, date, fire_label, pred_prob) and the
+    split summary.
+    """
     split = written(time_split(samples, holdout_days), "samples")
-    require_two_classes(split_summary(split))
-    train = split.select("station_id", "date", "split")
-    fit, vectors = fit_sequence(split, F.col("split") == "train", **params)
-    test = vectors.join(train.filter(F.col("split") == "test"), ["station_id", "date"], "left_semi")
-    return score_sequence(fit, test)
+    summary = split_summary(split)
+    require_two_classes(summary)
+    fit = fit_sequence(split_part(split, "train"), **params)
+    return fit, score_sequence(fit, split_part(split, "test"), keep=[LABEL]), summary
 
 
 def model_record(
-    spark: SparkSession, fit: Fit, model_name: str, summary: DataFrame, metrics: DataFrame,
-    holdout_days: int,
+    spark: SparkSession, fit: Fit | SequenceFit, model_name: str, summary: DataFrame,
+    metrics: DataFrame, holdout_days: int,
 ) -> DataFrame:
     """One-row metadata table of a trained model."""
     parts = {r.split: r for r in summary.collect()}
     measured = metrics.first()
+    sequence = isinstance(fit, SequenceFit)
     wanted = ("roc_auc", "pr_auc", "brier", "log_loss", "precision", "recall", "f1")
     row = {
         "model_name": model_name,
         "model_type": fit.kind,
         "trained_at": datetime.now().isoformat(timespec="seconds"),
         "label": LABEL,
-        "features": fit.features.all,
-        "categorical_features": list(fit.features.categorical),
+        "features": [*CHANNELS, *STATIC_CHANNELS] if sequence else fit.features.all,
+        "categorical_features": [] if sequence else list(fit.features.categorical),
         "excluded_features": list(CURRENT_DAY),
         "params": {k: str(v) for k, v in fit.params.items()},
         "holdout_days": holdout_days,
@@ -145,8 +153,50 @@ def train_and_save(
     return record
 
 
+def train_and_save_sequence(
+    spark: SparkSession,
+    samples: DataFrame,
+    folder: str,
+    model_name: str = SEQUENCE_MODEL,
+    holdout_days: int = DEFAULT_HOLDOUT_DAYS,
+    threshold: float = 0.5,
+    **params,
+) -> DataFrame:
+    """As ``train_and_save`` for the sequence classifier; channel scales are stored too."""
+    fit, scored, summary = sequence_holdout(samples, holdout_days, **params)
+    metrics = classification_metrics(scored, [], threshold)
+    record = model_record(spark, fit, model_name, summary, metrics, holdout_days)
+    fit.model.write().overwrite().save(f"{folder}/{model_name}/model")
+    scale = spark.createDataFrame([fit.scale], _SCALE_SCHEMA)
+    scale.coalesce(1).write.mode("overwrite").json(f"{folder}/{model_name}/scale")
+    record.coalesce(1).write.mode("overwrite").json(f"{folder}/{model_name}/meta")
+    return record
+
+
+def load_sequence(
+    spark: SparkSession, folder: str, model_name: str = SEQUENCE_MODEL
+) -> tuple[SequenceFit, DataFrame]:
+    meta = read_model_meta(spark, f"{folder}/{model_name}/meta")
+    scale = spark.read.schema(_SCALE_SCHEMA).json(f"{folder}/{model_name}/scale").first()
+    model = PipelineModel.load(f"{folder}/{model_name}/model")
+    return SequenceFit(model, {k: list(v) for k, v in scale.asDict().items()}), meta
+
+
+def evaluate_saved_sequence(
+    spark: SparkSession, folder: str, samples: DataFrame, model_name: str = SEQUENCE_MODEL,
+    holdout_days: int | None = None, **limits,
+) -> DataFrame:
+    """Metrics of the stored sequence classifier on its recorded holdout or another one."""
+    fit, meta = load_sequence(spark, folder, model_name)
+    days = meta.first().holdout_days if holdout_days is None else holdout_days
+    test = split_part(time_split(samples, days), "test")
+    return classification_metrics(
+        score_sequence(fit, test, model_name, [LABEL]), ["model_name"], **limits
+    )
+
+
 def load_fit(spark: SparkSession, folder: str, model_name: str) -> tuple[Fit, DataFrame]:
-    meta = spark.read.schema(MODEL_META_SCHEMA).json(f"{folder}/{model_name}/meta")
+    meta = read_model_meta(spark, f"{folder}/{model_name}/meta")
     row = meta.first()
     categorical = tuple(row.categorical_features)
     numeric = tuple(c for c in row.features if c not in categorical)

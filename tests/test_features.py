@@ -15,6 +15,7 @@ from emberday.operators.features import (
 from emberday.operators.sequences import (
     CHANNELS,
     channel_stats,
+    fit_scale,
     flattened,
     sequence_samples,
     standardised,
@@ -179,8 +180,11 @@ def test_channel_stats_and_standardising(spark):
     assert stats["TA_day"].mean == pytest.approx(frame["TA_day"].mean())
     assert stats["TA_day"].std == pytest.approx(frame["TA_day"].std(ddof=0))
     assert stats["has_00_obs"].std == 1.0  # constant channel
-    flat = flattened(standardised(samples, samples)).select("x_flat").collect()
+    scale = fit_scale(samples).first().asDict()
+    assert [len(v) for v in scale.values()] == [13, 13, 3, 3]
+    scaled = standardised(samples, scale)
+    flat = flattened(scaled).select("x_flat").collect()
     assert all(len(r.x_flat) == 14 * 13 + 3 for r in flat)
     assert sum(r.x_flat[0] for r in flat) / len(flat) == pytest.approx(0, abs=1.0)
-    again = channel_stats(standardised(samples, samples)).filter(F.col("channel") == "TA_day").first()
+    again = channel_stats(scaled).filter(F.col("channel") == "TA_day").first()
     assert (again["mean"], again["std"]) == (pytest.approx(0, abs=1e-5), pytest.approx(1, abs=1e-5))

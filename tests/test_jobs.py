@@ -21,10 +21,12 @@ from emberday.plans.prediction import predict_for_date
 from emberday.plans.training import (
     calibration_study,
     evaluate_saved,
+    evaluate_saved_sequence,
     load_fit,
     rolling_backtest,
     sequence_holdout,
     train_and_save,
+    train_and_save_sequence,
 )
 from emberday.sources.csv_files import header_audit, read_csv_folder
 from emberday.sources.sinks import operating_threshold_update, write_csv, write_predictions
@@ -225,7 +227,18 @@ def test_csv_folder_to_datasets(spark, tmp_path):
 
     samples = spark.read.parquet(str(tmp_path / "out" / "sequence_samples"))
     labelled = samples.withColumn("fire_label", (F.dayofmonth("date") % 2).cast("int"))
-    scored = sequence_holdout(labelled, 10, max_iter=20)
+    folder = str(tmp_path / "models")
+    record = train_and_save_sequence(spark, labelled, folder, holdout_days=10, max_iter=20).first()
+    assert (record.model_type, record.test_rows, len(record.features)) == ("sequence", 22, 16)
+    _, scored, _ = sequence_holdout(labelled, 10, max_iter=20)
     assert scored.count() == 22 and scored.filter("pred_prob between 0 and 1").count() == 22
+    direct = classification_metrics(scored).first()
+    stored = evaluate_saved_sequence(spark, folder, labelled).first()
+    assert (stored.rows, stored.brier) == (22, pytest.approx(direct.brier))
+    wide = spark.read.parquet(str(tmp_path / "out" / "wide_features"))
+    day = predict_for_date(spark, wide, "2020-02-09", folder, [], labelled).collect()
+    assert {(r.model_name, r.station_id, r.alert_threshold) for r in day} == {
+        ("sequence", "104", 0.5), ("sequence", "105", 0.5),
+    }
     write_csv(scored, str(tmp_path / "scored"))
     assert spark.read.option("header", True).csv(str(tmp_path / "scored")).count() == 22

@@ -136,3 +136,17 @@ def test_profiles(spark):
     assert [(x.column, x.type, x.rows) for x in table_overview(df).collect()] == [("v", "double", 4), ("s", "string", 4)]
     gaps = spark.createDataFrame([(date(2021, 1, 2), date(2021, 1, 1))], "date date, fire_date date")
     assert date_gap_counts(gaps).collect() == [(1, 1)]
+
+
+def test_sequential_ids_number_crowded_moments_and_copies(spark):
+    from emberday.operators.prefix import sequential_ids
+
+    t = datetime(2021, 1, 1, 0, 0, 0, 5)
+    rows = [(t, 1.0, 2.0)] * 300 + [(t, float(i), None) for i in range(200)]
+    rows += [(datetime(2020, 1, 1), 9.0, 9.0), (None, 0.0, 0.0), (datetime(2021, 1, 1), 50.0, 1.0)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, lon double, lat double").repartition(5)
+    got = sequential_ids(df, "id", "t", ["lon", "lat"]).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(len(rows)))
+    assert got[0].t == datetime(2020, 1, 1) and got[1].lon == 50.0 and got[-1].t is None
+    middle = [(r.lon, -1.0 if r.lat is None else r.lat) for r in got[2:-1]]
+    assert middle == sorted(middle)
