@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.standins import PREDICTIONS_SQL, predictions, r, rounded, table
+from catalog.standins import PREDICTIONS_SQL, SCORES, predictions, r, rounded, table
 from emberday.functions.risk import clip_probability, logit
 from emberday.operators.metrics import (
     brier_logloss,
@@ -362,8 +362,8 @@ _DELTA = ("roc_auc", "pr_auc", "brier", "log_loss", "accuracy", "precision", "re
 def model_delta(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(
         (F.col("l_returnflag") == "R").cast("int").alias("fire_label"),
-        (F.col("l_discount") * 10).alias("old_prob"),
-        (F.col("l_extendedprice") / 105000).alias("new_prob"),
+        F.expr(SCORES["coarse"]).alias("old_prob"),
+        F.expr(SCORES["fine"]).alias("new_prob"),
     )
     return rounded(metrics_delta(items, "old_prob", "new_prob"))
 

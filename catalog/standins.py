@@ -355,12 +355,13 @@ labels_d AS (
 
 # --- lineitem as scored predictions ------------------------------------------------
 
-# Model name to the score it gives a line item. The first has 11 distinct
+# Model name to the score it gives a line item. The odd factors keep sums
+# away from exact halves in the last compared digit. The first has 11 distinct
 # scores, the second nearly as many as there are rows, the third a few hundred.
 SCORES = {
-    "coarse": "l_discount * 10",
-    "fine": "l_extendedprice / 105000",
-    "mixed": "(l_quantity + l_tax * 100) / 60",
+    "coarse": "l_discount * 10 / 1.003D",
+    "fine": "l_extendedprice / 105011D",
+    "mixed": "(l_quantity + l_tax * 100) / 60.7D",
 }
 
 
@@ -385,7 +386,7 @@ preds AS (
     "\n  UNION ALL\n  ".join(
         f"SELECT CAST(l_suppkey AS INTEGER) AS station_id, CAST(l_shipdate AS DATE) AS date, "
         f"CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS fire_label, "
-        f"'{m}' AS model_name, {e} AS pred_prob FROM lineitem"
+        f"'{m}' AS model_name, {e.replace('D', '::DOUBLE')} AS pred_prob FROM lineitem"
         for m, e in SCORES.items()
     )
 )

@@ -64,12 +64,15 @@ def _slices_as_iso(text: Column, *lengths: int) -> Column:
 
 
 def parse_obs_timestamp(text: Column) -> Column:
-    """Minute digits, second digits, day digits, or ISO-like text; else null."""
+    """Minute digits, second digits, day digits, or ISO-like text; else null.
+
+    ISO-like text has a dash and digit strings have none, so one cast serves both.
+    """
     trimmed = F.trim(text.cast("string"))
-    return F.coalesce(
-        _slices_as_iso(trimmed, 12, 14, 8).try_cast("timestamp_ntz"),
-        trimmed.try_cast("timestamp_ntz"),
+    iso = F.when(F.instr(trimmed, "-") > 0, trimmed).otherwise(
+        F.coalesce(_slices_as_iso(trimmed, 12, 14, 8), trimmed)
     )
+    return iso.try_cast("timestamp_ntz")
 
 
 def parse_event_timestamp(text: Column) -> Column:
