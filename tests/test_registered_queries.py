@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from catalog.check import connect, differences
+from catalog.check import close_differences, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not present")
@@ -19,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_its_sql(spark, con, name):
     ours = entry.queries()[name](spark, SF_DIR).toPandas()
-    assert differences(ours, con.sql(entry.oracle_sql()[name]).df()) == []
+    assert close_differences(ours, con.sql(entry.oracle_sql()[name]).df()) == []
 
 
 def test_every_sql_has_a_query():
