@@ -13,7 +13,7 @@ from catalog.standins import (
     table,
 )
 from emberday.functions.geo import METRIC_GRID, project, unproject
-from emberday.operators.events import drop_duplicate_events, normalise_events
+from emberday.operators.events import normalise_events
 from emberday.operators.forecast import (
     before_target_day,
     daily_forecast,

@@ -29,7 +29,7 @@ DAILY_FILE_FEATURES = ("TA", "TMN", "TMX", "RN", "DTR")
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """Input columns of a model and how missing categories are written."""
+    """Numeric and categorical input columns of a model."""
 
     numeric: tuple[str, ...]
     categorical: tuple[str, ...] = ()
