@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberday.llm import ngram_join, quality
+from emberday.llm import decontamination, ngram_join, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,12 +15,17 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_bradley_terry_quality": op10_bradley_terry_quality,
 }
 SQL: dict[str, str] = {}

@@ -19,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+# for words of letters and digits: every other ASCII byte separates
+NOT_ALPHANUMERIC = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,40 +40,38 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _slice_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(buffer: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of one slice."""
-    space = _IS_SPACE[buffer]
-    before = np.empty_like(space)
-    before[0] = True
-    before[1:] = space[:-1]
-    starts = np.flatnonzero(~space & before)
+    inside = np.zeros(len(buffer) + 2, np.int8)
+    inside[1:-1] = ~gap[buffer]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
     if not len(starts):
         return starts, np.empty(0, np.uint64)
-    ends = np.flatnonzero(space & ~before)
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(buffer))
-    place = np.arange(len(buffer)) - np.repeat(starts, np.diff(starts, append=len(buffer)))[: len(buffer)] \
-        if starts[0] == 0 else np.arange(len(buffer)) - np.repeat(
-            np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts]), append=len(buffer)))
-    terms = _LOWER[buffer].astype(np.uint64) + np.uint64(1)
-    terms[space] = 0
-    place[space] = 0
-    terms *= _powers(int(place.max()) + 1)[place]
-    return starts, mix(np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64))
-
-
-def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and 64-bit hashes of all words of a byte buffer, in order."""
+    ends = np.cumsum(lengths)
+    # bytes of words only, one word after the other, and the place of each byte in its word
+    letters = _LOWER[buffer[inside[1:-1].view(bool)]].astype(np.uint64)
+    place = np.arange(ends[-1], dtype=np.int32) - np.repeat((ends - lengths).astype(np.int32), lengths)
+    letters += np.uint64(1)
+    letters *= _powers(int(lengths.max()))[place]
+    return starts, mix(np.add.reduceat(letters, ends - lengths) + lengths.astype(np.uint64))
+
+
+def words(buffer: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and 64-bit hashes of all words of a byte buffer, in order.
+
+    ``gap`` tells for each byte value whether it separates words.
+    """
     starts, hashes, at = [], [], 0
     while at < len(buffer):
         end = at + _SLICE_BYTES
         while end < len(buffer):
-            gap = np.flatnonzero(_IS_SPACE[buffer[end : end + _SLICE_BYTES]])
-            if len(gap):
-                end += int(gap[0]) + 1
+            cut = np.flatnonzero(gap[buffer[end : end + _SLICE_BYTES]])
+            if len(cut):
+                end += int(cut[0]) + 1
                 break
             end += _SLICE_BYTES
-        s, h = _slice_words(buffer[at : min(end, len(buffer))])
+        s, h = _slice_words(buffer[at : min(end, len(buffer))], gap)
         starts.append(s + at)
         hashes.append(h)
         at = end
@@ -99,10 +99,10 @@ def shingle_hashes(word_hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.nd
     return mix(total)
 
 
-def text_word_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+def text_word_hashes(texts: Sequence[str | None], gap: np.ndarray = _IS_SPACE) -> Iterator[np.ndarray]:
     """Word hashes of each text, in order."""
     buffer, begins = joined(texts)
-    starts, hashes = words(buffer)
+    starts, hashes = words(buffer, gap)
     cuts = np.searchsorted(starts, begins)
     for a, b in zip(cuts, cuts[1:]):
         yield hashes[a:b]
