@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberday.llm import decontamination, ngram_join, quality
+from emberday.llm import decontamination, ngram_join, quality, token_store
+
+
+def tokenizer_file(name: str) -> str:
+    """A file of the public tokenizers installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +22,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def op5_directly_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.encoded_documents(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -25,6 +36,7 @@ def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op5_directly_addressable_tokens": op5_directly_addressable_tokens,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_bradley_terry_quality": op10_bradley_terry_quality,
 }

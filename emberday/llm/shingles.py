@@ -40,7 +40,7 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _slice_words(buffer: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(buffer: np.ndarray, gap: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of one slice."""
     inside = np.zeros(len(buffer) + 2, np.int8)
     inside[1:-1] = ~gap[buffer]
@@ -50,17 +50,18 @@ def _slice_words(buffer: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.nd
         return starts, np.empty(0, np.uint64)
     ends = np.cumsum(lengths)
     # bytes of words only, one word after the other, and the place of each byte in its word
-    letters = _LOWER[buffer[inside[1:-1].view(bool)]].astype(np.uint64)
+    letters = buffer[inside[1:-1].view(bool)]
+    letters = (_LOWER[letters] if fold else letters).astype(np.uint64)
     place = np.arange(ends[-1], dtype=np.int32) - np.repeat((ends - lengths).astype(np.int32), lengths)
     letters += np.uint64(1)
     letters *= _powers(int(lengths.max()))[place]
     return starts, mix(np.add.reduceat(letters, ends - lengths) + lengths.astype(np.uint64))
 
 
-def words(buffer: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+def words(buffer: np.ndarray, gap: np.ndarray = _IS_SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and 64-bit hashes of all words of a byte buffer, in order.
 
-    ``gap`` tells for each byte value whether it separates words.
+    ``gap`` tells for each byte value whether it separates words; ``fold`` lower-cases A-Z.
     """
     starts, hashes, at = [], [], 0
     while at < len(buffer):
@@ -71,7 +72,7 @@ def words(buffer: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray,
                 end += int(cut[0]) + 1
                 break
             end += _SLICE_BYTES
-        s, h = _slice_words(buffer[at : min(end, len(buffer))], gap)
+        s, h = _slice_words(buffer[at : min(end, len(buffer))], gap, fold)
         starts.append(s + at)
         hashes.append(h)
         at = end
@@ -80,11 +81,11 @@ def words(buffer: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray,
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def joined(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """One byte buffer of all texts with a line break after each, and where each text begins."""
+def joined(texts: Sequence[str | None], end: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
+    """One byte buffer of all texts with ``end``, one byte, after each, and where each begins."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     begins = np.cumsum([0] + [len(p) + 1 for p in parts])
-    return np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8), begins
+    return np.frombuffer(end.join([*parts, b""]), dtype=np.uint8), begins
 
 
 def shingle_hashes(word_hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
