@@ -325,6 +325,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     with a null doc_id links like any other, but never names a class: a class without any
     doc_id has a null component_id. No rows give no rows.
     """
+    return _row_classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _row_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     table = written(
         prefix_table(docs, shingle_counts(docs)).withColumn("node", F.xxhash64("key", "n")), "ngram-prefixes"
@@ -382,10 +386,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     )
     named = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
     return (
-        table.select("doc_id", "n", "node")
+        table.select("doc_id", "text_hash", "n", "node")
         .join(of_node.join(named, "component").select("node", "component_id"), "node", "left")
         .select(
             "doc_id",
+            "text_hash",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
@@ -396,3 +401,24 @@ def _classes(links: DataFrame | None, members: DataFrame) -> DataFrame:
     if links is None:
         return members.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0)
     return written(components(links), "ngram-classes")
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, the smallest doc_id, all columns.
+
+    Of rows with that doc_id and several texts of the class all stay, of equal rows one stays.
+    Rows without shingles are no duplicates of anything and all stay; so do rows of a class
+    without any doc_id.
+    """
+    classes = _row_classes(docs)
+    drop = classes.where("n_shingles > 0 and (doc_id is null or doc_id <> component_id) and component_id is not null")
+    drop = drop.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    kept = docs.join(drop, same, "left_anti")
+    repeated = classes.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", "text_hash").count()
+    repeated = repeated.where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if not repeated.take(1):
+        return kept
+    return kept.join(repeated, same, "left_anti").unionByName(
+        kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberday.llm import decontamination, ngram_join, quality, token_store
+from emberday.llm import decontamination, mixing, ngram_join, quality, token_store
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,6 +19,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def mixing_tree() -> list[mixing.Level]:
+    """Domains by source, languages and sources below them, with the weights of siblings."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
+    domain = F.when(F.col("source") == "src0", "web").when(number % 2 == 0, "books").otherwise("forums")
+    return [
+        mixing.Level("domain", domain, F.expr("CASE domain WHEN 'web' THEN 0.4 WHEN 'books' THEN 0.4 ELSE 0.2 END")),
+        mixing.Level("lang", F.col("lang"), F.expr("CASE lang WHEN 'en' THEN 0.4 ELSE 0.2 END")),
+        mixing.Level("source", F.col("source"), F.lit(1.0)),
+    ]
+
+
+MIX_SHARE, MIX_EPOCHS = 0.6, 2
+
+
+def op1_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_read(spark, sf_dir, "documents"), mixing_tree(), MIX_SHARE, MIX_EPOCHS)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"))
 
@@ -35,6 +54,7 @@ def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_ngram_join": op2_ngram_join,
     "op5_directly_addressable_tokens": op5_directly_addressable_tokens,
     "op9_simhash_decontamination": op9_simhash_decontamination,
