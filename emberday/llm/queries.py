@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberday.llm import decontamination, mixing, ngram_join, quality, token_store
+from emberday.llm import ann, decontamination, mixing, ngram_join, quality, token_store, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,10 +41,27 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op4_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_directly_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encoded_documents(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -56,7 +73,9 @@ def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_ngram_join": op2_ngram_join,
+    "op4_url_aliases": op4_url_aliases,
     "op5_directly_addressable_tokens": op5_directly_addressable_tokens,
+    "op8_adaptive_dimension_scan": op8_adaptive_dimension_scan,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_bradley_terry_quality": op10_bradley_terry_quality,
 }
