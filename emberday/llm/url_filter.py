@@ -70,18 +70,20 @@ def with_rule(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFra
     ``rules`` are (action, host, path). Of equally long rules the one with the longer host
     wins, then the smaller text, then allow. Both are null where none fits.
     """
-    if len(rules) <= INLINE_RULES:
-        fits = [
-            F.when(
-                ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path),
-                F.struct(F.lit(host + path).alias("rule"), F.lit(action).alias("action")),
-            )
-            for action, host, path in sorted(rules, key=_preference)
-        ]
-        first = F.coalesce(*fits, F.lit(None)) if fits else F.lit(None).cast("struct<rule:string,action:string>")
+    if 0 < len(rules) <= INLINE_RULES:
+        table = F.array(
+            *[F.struct(*map(F.lit, (host, path, f".{host}", host + path, action)))
+              for action, host, path in sorted(rules, key=_preference)]
+        )
+        fitting = F.filter(
+            table,
+            lambda r: ((F.col("host") == r["col1"]) | F.col("host").endswith(r["col3"]))
+            & F.col("path").startswith(r["col2"]),
+        )
+        first = F.try_element_at(fitting, F.lit(1))
         return rows.withColumn("_rule", first).select(
-            "*", F.col("_rule.rule").alias("rule"), F.col("_rule.action").alias("action")
-        ).drop("_rule")
+            *[rows[c] for c in rows.columns], F.col("_rule.col4").alias("rule"), F.col("_rule.col5").alias("action")
+        )
     spark = rows.sparkSession
     ranked = [(a, h, p, k) for k, (a, h, p) in enumerate(sorted(rules, key=_preference))]
     table = spark.createDataFrame(ranked, "action string, rule_host string, rule_path string, rank int")
@@ -118,7 +120,7 @@ def page_links(pages: DataFrame) -> DataFrame:
         ).alias("href"),
     )
     # most pages have no link: the few found are written, so that the html is read once
-    return _absolute(written(found.where("href <> ''"), "url-hrefs"))
+    return written(_absolute(written(found.where("href <> ''"), "url-hrefs")), "url-named")
 
 
 def verdicts(
