@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberday.llm import ann, decontamination, mixing, ngram_join, quality, token_store, url_filter
+from emberday.llm import ann, decontamination, langid, mixing, ngram_join, quality, token_counts, token_store, toxicity, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +41,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def op3_segmentation_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -58,6 +62,33 @@ def op5_directly_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFra
     return token_store.encoded_documents(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def three_edits(docs: DataFrame) -> DataFrame:
+    """``docs`` with three edits each: a sentence put in, a span rewritten, a span taken out.
+
+    Places follow from the doc_id, over the whole text.
+    """
+    size = F.coalesce(F.length("text"), F.lit(0))
+
+    def place(k: int):
+        return F.pmod(F.xxhash64(F.lit(k), "doc_id"), size + 1).cast("int")
+
+    def edit(start, length: int, insert):
+        return F.struct(start.alias("start"), (start + length).alias("stop"), insert.alias("insert"))
+
+    note = F.concat(F.lit(" Note "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(": corrected here. "))
+    edits = F.array(edit(place(1), 0, note), edit(place(2), 12, F.lit("rewritten")), edit(place(3), 60, F.lit("")))
+    return docs.select("doc_id", "text", edits.alias("edits"))
+
+
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = three_edits(_read(spark, sf_dir, "documents"))
+    return token_counts.edited_counts(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+def op7_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
 
@@ -73,8 +104,11 @@ def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_ngram_join": op2_ngram_join,
+    "op3_segmentation_unigrams": op3_segmentation_unigrams,
     "op4_url_aliases": op4_url_aliases,
     "op5_directly_addressable_tokens": op5_directly_addressable_tokens,
+    "op6_edit_aware_counts": op6_edit_aware_counts,
+    "op7_weak_supervision_toxicity": op7_weak_supervision_toxicity,
     "op8_adaptive_dimension_scan": op8_adaptive_dimension_scan,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_bradley_terry_quality": op10_bradley_terry_quality,

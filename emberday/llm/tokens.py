@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import string
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,7 @@ from emberday.llm import shingles as S
 MAX_KNOWN = 1_500_000
 _ONLY_SPACE = np.arange(256) == 32
 # A space beside other white space may belong to a longer run: such texts are encoded whole.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r" \s|\s |^ | $")
 _RARE_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _FIRST = np.uint64(0x5DEECE66D1234567)
@@ -67,7 +69,35 @@ class Encoder:
             parts[i] = found
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
+    def word_counts(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Per text: characters and number of ids of each of its words, spaces in front included.
+
+        Words are what lies between single spaces that have no white space beside them; the
+        ids of a text are those of its words in order.
+        """
+        if len(self._hashes) > MAX_KNOWN:
+            self._clear()
+        even = [None if t and _uneven(t) else t for t in texts]
+        code, cuts = self._codes(even)
+        counts = self._length[code]
+        for text, plain, a, b in zip(texts, even, cuts, cuts[1:]):
+            if plain is None and text:
+                words = _CUT.split(text)
+                spelled = [words[0], *(f" {w}" for w in words[1:])]
+                yield list(map(len, spelled)), np.array([len(i) for i in self._whole(spelled)])
+            else:
+                sizes = [len(w) + 1 for w in text.split(" ")] if text else []
+                if sizes:
+                    sizes[0] -= 1
+                yield sizes, counts[a:b]
+
     def _encode_even(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        code, cuts = self._codes(texts)
+        ids, ends = self._gather(code)
+        return ids, np.diff(np.concatenate([[0], ends])[cuts])
+
+    def _codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Table rows of all words, and where each text's words begin; unknown words are learned."""
         buffer, begins = S.joined(texts, b" ")
         starts, hashes = S.words(buffer, _ONLY_SPACE, fold=False)
         cuts = np.searchsorted(starts, begins)
@@ -85,8 +115,7 @@ class Encoder:
             words = [raw[a:b].rstrip(b" ").decode("utf-8", "surrogatepass") for a, b in zip(starts[at], ends[at])]
             self._learn(words, spaced[at], new)
             code = self._find(hashes)
-        ids, ends = self._gather(code)
-        return ids, np.diff(np.concatenate([[0], ends])[cuts])
+        return code, cuts
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self._hashes):
