@@ -6,7 +6,9 @@ each point folds over it in a narrow projection: no shuffle and no point key. A
 registry is narrowed per grid square first: only the squares that hold points are
 refined, level by level, each keeping the stations that can still be nearest to some
 position inside it. A point then folds over its square's short list, and however many
-points one square holds, they share a single list.
+points one square holds, they share a single list. Stations at one place are one entry, so
+a list holds places only. Both ways give the same rows; NaN and infinite coordinates count
+as missing on both inputs. Each level is written, so the plan stays as long as one level.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberday.functions.geo import planar_distance, project
+from emberday.session import written
 
 SMALL_REGISTRY = 256
 _STATIONS_PER_SQUARE = 16
-_MAX_LEVEL = 16
+_MAX_LEVEL = 30
 # Squares are compared with a little slack so that rounding never drops a candidate.
 _SLACK = 1e-9
 
@@ -33,20 +36,37 @@ def nearest_planar(
     """Left join each point (x, y) with its closest station (station_id, x, y).
 
     Equally close stations each give a row; ``one_per_point`` keeps the lowest id.
-    Points without coordinates stay, with null station and distance.
+    Points without finite coordinates stay, with null station and distance; stations without
+    take no part.
     """
-    registry = stations.select(
-        "station_id",
-        F.col("x").cast("double").alias("x"),
-        F.col("y").cast("double").alias("y"),
-    ).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    registry = stations.select("station_id", _finite("x").alias("x"), _finite("y").alias("y")).dropna(
+        subset=["x", "y"]
+    )
+    located = points.withColumns({"_fx": _finite("x"), "_fy": _finite("y")})
+    places = registry.groupBy("x", "y").agg(F.min("station_id").alias("station_id"), F.count("*").alias("n"))
 
     if registry.limit(small_registry + 1).count() <= small_registry:
-        listed = registry.select(F.collect_list(F.struct("station_id", "x", "y"))).scalar()
-        with_lists = points.withColumn("_near", listed)
+        listed = places.select(F.collect_list(F.struct("station_id", "x", "y"))).scalar()
+        with_lists = located.withColumn("_near", listed)
     else:
-        with_lists = _with_square_lists(points, registry)
-    return _fold(with_lists, distance_col, one_per_point)
+        with_lists = _with_square_lists(located, places)
+    found = _fold(with_lists, distance_col, one_per_point)
+    kept = [F.col(c) for c in points.columns]
+    if one_per_point:
+        return found.select(*kept, F.col("_place.station_id").alias("station_id"), distance_col)
+    # only stations that share their place with others need the join
+    shared = places.where("n > 1").select(F.col("x").alias("_px"), F.col("y").alias("_py"))
+    at_place = registry.join(shared, (F.col("x") == F.col("_px")) & (F.col("y") == F.col("_py"))).select(
+        F.col("station_id").alias("_other"), "_px", "_py"
+    )
+    same = (F.col("_place.x") == F.col("_px")) & (F.col("_place.y") == F.col("_py"))
+    station = F.coalesce("_other", "_place.station_id").alias("station_id")
+    return found.join(at_place, same, "left").select(*kept, station, distance_col)
+
+
+def _finite(name: str) -> Column:
+    value = F.col(name).cast("double")
+    return F.when(F.abs(value) < float("inf"), value + F.lit(0.0))
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, **options) -> DataFrame:
@@ -65,57 +85,56 @@ def nearest_station(points: DataFrame, stations: DataFrame, **options) -> DataFr
 
 
 def _fold(points: DataFrame, distance_col: str, one_per_point: bool) -> DataFrame:
-    """Keep the closest entries of each row's station list ``_near``."""
+    """Keep the closest entries of each row's list ``_near``, as ``_place``."""
 
     def distance(s: Column) -> Column:
-        return planar_distance(F.col("x"), F.col("y"), s.getField("x"), s.getField("y"))
+        return planar_distance(F.col("_fx"), F.col("_fy"), s.getField("x"), s.getField("y"))
 
     measured = points.withColumn(
         "_near",
         F.transform(
             "_near",
             lambda s: F.struct(
-                distance(s).alias("d"), s.getField("station_id").alias("station_id")
+                distance(s).alias("d"), s.getField("station_id").alias("station_id"),
+                s.getField("x").alias("x"), s.getField("y").alias("y"),
             ),
         ),
-    )
+    )
     if one_per_point:
-        located = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array_min("_near"))
-        best = measured.withColumn("_hit", located)
+        located = F.when(F.col("_fx").isNotNull() & F.col("_fy").isNotNull(), F.array_min("_near"))
+        best = measured.withColumn("_place", located)
     else:
         least = measured.withColumn(
             "_least", F.array_min(F.transform("_near", lambda s: s.getField("d")))
         )
         best = least.withColumn(
-            "_hit",
+            "_place",
             F.explode_outer(
                 F.filter("_near", lambda s: s.getField("d") == F.col("_least"))
             ),
         )
-    return best.select(
-        *[c for c in points.columns if c != "_near"],
-        F.col("_hit.station_id").alias("station_id"),
-        F.col("_hit.d").alias(distance_col),
-    )
+    return best.withColumn(distance_col, F.col("_place.d"))
 
 
 def _with_square_lists(points: DataFrame, registry: DataFrame) -> DataFrame:
     """Attach to every point the stations that may be nearest within its grid square."""
     extent = _extent(points)
     if extent is None:
-        empty = F.array().cast("array<struct<station_id:int,x:double,y:double>>")
+        kind = dict(registry.dtypes)["station_id"]
+        empty = F.array().cast(f"array<struct<station_id:{kind},x:double,y:double>>")
         return points.withColumn("_near", empty)
     x0, y0, side = extent
     level = _depth(registry, x0, y0, side)
 
     def square(axis: str, origin: float) -> Column:
         step = F.floor((F.col(axis) - origin) / F.lit(side / 2**level))
-        return F.least(step, F.lit(2**level - 1)).cast("int")
+        return F.greatest(F.least(step, F.lit(2**level - 1)), F.lit(0)).cast("int")
 
-    placed = points.withColumns({"_sx": square("x", x0), "_sy": square("y", y0)})
+    placed = points.withColumns({"_sx": square("_fx", x0), "_sy": square("_fy", y0)})
     occupied = placed.select("_sx", "_sy").filter(
         F.col("_sx").isNotNull() & F.col("_sy").isNotNull()
-    ).distinct()
+    )
+    occupied = written(occupied.distinct(), "nearest-squares")
 
     lists = registry.select(
         F.lit(0).alias("_px"), F.lit(0).alias("_py"), F.struct("station_id", "x", "y").alias("s")
@@ -129,7 +148,7 @@ def _with_square_lists(points: DataFrame, registry: DataFrame) -> DataFrame:
             lists,
             (F.shiftright("_cx", 1) == F.col("_px")) & (F.shiftright("_cy", 1) == F.col("_py")),
         ).drop("_px", "_py")
-        lists = _prune(inherited, x0, y0, side / 2**depth).withColumnsRenamed(
+        lists = _prune(written(inherited, "nearest-level"), x0, y0, side / 2**depth).withColumnsRenamed(
             {"_cx": "_px", "_cy": "_py"}
         )
     near = lists.groupBy("_px", "_py").agg(F.collect_list("s").alias("_near"))
@@ -167,7 +186,7 @@ def _prune(candidates: DataFrame, x0: float, y0: float, step: float) -> DataFram
 def _extent(points: DataFrame) -> tuple[float, float, float] | None:
     """Lower corner and side of the square around the points."""
     box = points.select(
-        *[F.expr(f"{f}(cast({c} as double))").alias(f"{f}_{c}") for f in ("min", "max") for c in "xy"]
+        *[F.expr(f"{f}(_f{c})").alias(f"{f}_{c}") for f in ("min", "max") for c in "xy"]
     ).first()
     if box.min_x is None or box.min_y is None:
         return None
@@ -176,20 +195,11 @@ def _extent(points: DataFrame) -> tuple[float, float, float] | None:
 
 
 def _depth(registry: DataFrame, x0: float, y0: float, side: float) -> int:
-    """Levels needed until the fullest square holds only a few stations."""
-    step = side / 2**_MAX_LEVEL
-    squares = registry.groupBy(
-        F.floor((F.col("x") - x0) / step).alias("sx"), F.floor((F.col("y") - y0) / step).alias("sy")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    levels = range(1, _MAX_LEVEL + 1)
-    for depth in levels:
-        drop = _MAX_LEVEL - depth
-        fullest = (
-            squares.groupBy(F.shiftright("sx", drop), F.shiftright("sy", drop))
-            .agg(F.sum("n").alias("n"))
-            .select(F.max("n"))
-            .first()[0]
-        )
-        if fullest <= _STATIONS_PER_SQUARE:
-            return depth
-    return levels[-1]
+    """Levels needed until the fullest square holds only a few places; one job for all levels."""
+    level = F.explode(F.sequence(F.lit(1), F.lit(_MAX_LEVEL))).alias("level")
+    step = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
+    squares = registry.select("x", "y", level).groupBy(
+        "level", F.floor((F.col("x") - x0) / step).alias("sx"), F.floor((F.col("y") - y0) / step).alias("sy")
+    ).agg(F.count("*").alias("n"))
+    fullest = squares.groupBy("level").agg(F.max("n").alias("n")).where(F.col("n") <= _STATIONS_PER_SQUARE)
+    return fullest.agg(F.min("level")).first()[0] or _MAX_LEVEL

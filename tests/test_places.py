@@ -150,3 +150,31 @@ def test_sequential_ids_number_crowded_moments_and_copies(spark):
     assert got[0].t == datetime(2020, 1, 1) and got[1].lon == 50.0 and got[-1].t is None
     middle = [(r.lon, -1.0 if r.lat is None else r.lat) for r in got[2:-1]]
     assert middle == sorted(middle)
+
+
+def _fold_by_hand(points, stations):
+    def finite(*v):
+        return all(x is not None and math.isfinite(x) for x in v)
+
+    out = set()
+    for i, x, y in points:
+        usable = [(math.hypot(x - a, y - b), s) for s, a, b in stations if finite(a, b)] if finite(x, y) else []
+        least = min(usable, default=(None,))[0]
+        out |= {(i, s) for d, s in usable if d == least} or {(i, None)}
+    return out
+
+
+@pytest.mark.parametrize("small", [256, 0])
+def test_nearest_with_dirty_coordinates(spark, small):
+    rng = random.Random(3)
+    points = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(60)]
+    points += [(100, math.nan, 1.0), (101, math.inf, 1.0), (102, None, 1.0), (103, 1e9, -1e9), (104, 50.0, 50.0)]
+    # a cluster far denser than the extent, stations at one place, ties around point 104
+    stations = [(f"c{i}", 10 + rng.random() * 1e-3, 10 + rng.random() * 1e-3) for i in range(120)]
+    stations += [("s1", 70.0, 70.0), ("s2", 70.0, 70.0), ("t1", 49.0, 50.0), ("t2", 51.0, 50.0), ("bad", math.nan, 3.0), ("null", None, 3.0)]
+    p = spark.createDataFrame(points, "id int, x double, y double")
+    s = spark.createDataFrame(stations, "station_id string, x double, y double")
+    got = nearest_planar(p, s, small_registry=small)
+    assert {(r.id, r.station_id) for r in got.collect()} == _fold_by_hand(points, stations)
+    # a level is written before the next begins: the plan does not grow with the levels
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 8
