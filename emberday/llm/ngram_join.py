@@ -37,6 +37,7 @@ from emberday.session import written
 SKETCH_BITS = 18
 _STRIPE = 1 << 12
 BLOCK = 256
+SMALL_BUCKET = 16
 BROADCAST_NODES = 1_000_000
 _SIG_BITS_PER_ITEM = 4
 _PERCENT = 80
@@ -211,21 +212,39 @@ def _pivot_pairs(postings: DataFrame) -> DataFrame:
 
 
 def _open_rows(memberships: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold members of several classes, with class and block count."""
+    """Rows of buckets that still hold members of several classes, with class and bucket size.
+
+    Of buckets with the same members one stays: they would give the same pairs.
+    """
     labelled = memberships.join(classes.select(F.col("id").alias("node"), "component"), "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    open_tokens = (
+    buckets = (
         labelled.groupBy("token")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+        .agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"),
+            F.bit_xor(F.xxhash64("node")).alias("members"),
+        )
         .where("lo <> hi")
-        .select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    )
+    one_each = buckets.groupBy("members", "m").agg(F.min("token").alias("token")).select("token", "m")
+    return labelled.join(one_each, "token")
+
+
+def _small_bucket_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different classes and fitting sizes within buckets of at most ``SMALL_BUCKET``."""
+    small = rows.where(F.col("m") <= SMALL_BUCKET)
+    a, b = (small.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in ("a", "b"))
+    fits = (
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * _PERCENT)
     )
-    return labelled.join(open_tokens, "token")
+    return a.join(b, (a["token"] == b["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _block_pairs(rows: DataFrame, bitmaps: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs of different classes within a bucket that size and bitmap do not rule out.
+    """Pairs of different classes within larger buckets that size and bitmap do not rule out.
 
     A bucket of m members is dealt into blocks of about ``BLOCK``; every two blocks meet in
     one task, so no task holds a whole bucket. ``best_only`` keeps, for each member and each
@@ -233,7 +252,9 @@ def _block_pairs(rows: DataFrame, bitmaps: DataFrame, best_only: bool) -> DataFr
     """
     block = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
     dealt = (
-        rows.withColumn("block", block)
+        rows.where(F.col("m") > SMALL_BUCKET)
+        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "token", "node", "n", "component", "block",
@@ -250,7 +271,7 @@ def _block_pairs(rows: DataFrame, bitmaps: DataFrame, best_only: bool) -> DataFr
             if found is not None:
                 yield found
 
-    return dealt.mapInArrow(pairs, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(pairs, "a bigint, b bigint")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -374,8 +395,9 @@ def _row_classes(docs: DataFrame) -> DataFrame:
     memberships = members.select("node", "grp", "n").join(buckets, "grp").select("node", "n", "token")
     bitmaps = members.select("node", "bitmap")
     for best_only in (True, False):
-        rows = _open_rows(memberships, classes)
-        more = verified(_block_pairs(rows, bitmaps, best_only), wanted, docs)
+        rows = written(_open_rows(memberships, classes), "ngram-open")
+        found = _small_bucket_pairs(rows).unionByName(_block_pairs(rows, bitmaps, best_only))
+        more = verified(found.distinct(), wanted, docs)
         if more is not None:
             links = more if links is None else links.unionByName(more)
             classes = _classes(links, members)
