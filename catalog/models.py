@@ -21,7 +21,7 @@ from emberday.operators.features import wide_features
 from emberday.operators.metrics import classification_metrics
 from emberday.operators.sequences import sequence_samples
 from emberday.operators.splits import year_split
-from emberday.session import shared_folder
+from emberday.session import shared_folder, written
 from emberday.plans.prediction import predict_for_date
 from emberday.plans.training import (
     calibration_study,
@@ -36,7 +36,7 @@ from emberday.plans.training import (
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-# Short fits: the queries show the jobs, quality comes with the default lengths.
+# Boosted fits are short here: the default 500 rounds take hours on one machine.
 _SHORT = {"rounds": 5, "depth": 3, "rate": 0.2}
 
 
@@ -65,7 +65,7 @@ def _daily(spark, sf_dir) -> DataFrame:
 
 @query("lr_fit_score")
 def lr_fit_score(spark, sf_dir):
-    _, scored, _ = holdout_predictions(_wide(spark, sf_dir), "logistic", "lr", max_iter=50)
+    _, scored, _ = holdout_predictions(_wide(spark, sf_dir), "logistic", "lr")
     return rounded(scored)
 
 
@@ -80,7 +80,7 @@ def gbt_fit_score(spark, sf_dir):
 @query("sequence_fit_score")
 def sequence_fit_score(spark, sf_dir):
     samples = sequence_samples(flag_base(spark, sf_dir))
-    _, scored, _ = sequence_holdout(samples, max_iter=50)
+    _, scored, _ = sequence_holdout(samples)
     return rounded(scored)
 
 
@@ -89,7 +89,7 @@ def legacy_fit(spark, sf_dir):
     """Balanced logistic regression on the daily columns, split at a year; weights by size."""
     features = FeatureSet(DAILY_FEATURES)
     rows = complete_rows(training_frame(_daily(spark, sf_dir), features), features.all)
-    fit = fit_logistic(split_part(year_split(rows, 2000), "train"), features, max_iter=100)
+    fit = fit_logistic(split_part(year_split(rows, 2000), "train"), features)
     return rounded(spark.createDataFrame(coefficients(fit), "feature string, weight double"))
 
 
@@ -132,21 +132,21 @@ def isotonic(spark, sf_dir):
 
 @query("calibration_study")
 def q_calibration_study(spark, sf_dir):
-    metrics, _, _ = calibration_study(_wide(spark, sf_dir), "logistic", max_iter=50)
+    metrics, _, _ = calibration_study(_wide(spark, sf_dir), "logistic")
     return rounded(metrics)
 
 
 @query("backtest")
 def backtest(spark, sf_dir):
-    folds, _, _ = rolling_backtest(
-        _wide(spark, sf_dir), "logistic", start_year=1999, end_year=2000, max_iter=30
-    )
+    wide = written(_wide(spark, sf_dir), "wide")
+    years = wide.agg(F.year(F.min("date")).alias("first"), F.year(F.max("date")).alias("last")).first()
+    folds, _, _ = rolling_backtest(wide, "logistic", start_year=years["first"], end_year=years["last"])
     return rounded(folds)
 
 
 def _saved_model(spark, sf_dir, folder):
     wide = _wide(spark, sf_dir)
-    train_and_save(spark, wide, "logistic", "lr", folder, max_iter=30)
+    train_and_save(spark, wide, "logistic", "lr", folder)
     return wide
 
 

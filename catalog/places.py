@@ -142,6 +142,51 @@ _GEO_POINTS_SQL = _POINTS_SQL.replace(
 )
 
 
+def _dirty(spark, sf_dir):
+    """Points and stations with missing, NaN and infinite coordinates, an outlier, a dense cluster, shared places."""
+    e = table(spark, sf_dir, "embeddings")
+    x, y, u, v = (F.get("embedding", F.lit(k)).cast("double") for k in range(4))
+    spoiled = F.expr("CASE vec_id % 50 WHEN 7 THEN double('NaN') WHEN 8 THEN double('Infinity') ELSE CAST(NULL AS DOUBLE) END")
+    points = e.select(
+        "vec_id",
+        F.when(F.col("vec_id") % 50 < 7, x).when(F.col("vec_id") % 50 > 9, x * F.when(F.col("vec_id") == 11, 1e6).otherwise(1.0))
+        .otherwise(spoiled).alias("x"),
+        y.alias("y"),
+    )
+    near = F.when(F.col("vec_id") % 3 == 0, 1e-6).otherwise(1.0)
+    stations = e.select(
+        F.col("vec_id").cast("int").alias("station_id"),
+        F.when(F.col("vec_id") % 40 == 3, F.expr("double('NaN')")).otherwise(u * near).alias("x"),
+        (v * near).alias("y"),
+    )
+    twins = stations.where(F.col("station_id") % 20 == 1).withColumn("station_id", F.col("station_id") + 1_000_000)
+    return points, stations.unionByName(twins)
+
+
+@query(
+    "nearest_station_dirty",
+    f"""
+WITH points AS (
+  SELECT vec_id, CASE vec_id % 50 WHEN 7 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL
+    ELSE CAST(embedding[1] AS DOUBLE) * CASE WHEN vec_id = 11 THEN 1e6 ELSE 1.0 END END AS x,
+    CAST(embedding[2] AS DOUBLE) AS y FROM embeddings
+), plain AS (
+  SELECT CAST(vec_id AS INTEGER) AS station_id,
+    CAST(embedding[3] AS DOUBLE) * CASE WHEN vec_id % 3 = 0 THEN 1e-6 ELSE 1.0 END AS x,
+    CAST(embedding[4] AS DOUBLE) * CASE WHEN vec_id % 3 = 0 THEN 1e-6 ELSE 1.0 END AS y
+  FROM embeddings WHERE vec_id % 40 <> 3
+), registry AS (
+  SELECT * FROM plain UNION ALL SELECT station_id + 1000000, x, y FROM plain WHERE station_id % 20 = 1
+),
+{_nearest_sql('p.x', 'p.y', 's.x', 's.y').strip()}
+SELECT p.vec_id, h.station_id, {r('h.d', 'dist_m')}
+FROM points p LEFT JOIN (SELECT * FROM hits WHERE x IS NOT NULL) h USING (vec_id)""",
+)
+def nearest_station_dirty(spark, sf_dir):
+    points, stations = _dirty(spark, sf_dir)
+    return rounded(nearest_planar(points, stations, small_registry=0).select("vec_id", "station_id", "dist_m"))
+
+
 @query(
     "nearest_station_geo",
     "WITH {}, projected AS (SELECT vec_id, {} AS x, {} AS y FROM points), "

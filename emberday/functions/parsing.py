@@ -23,11 +23,18 @@ def pick_column(columns: Sequence[str], candidates: Iterable[str]) -> str | None
 def to_number(text: Column) -> Column:
     """Text to double; anything that is not a plain decimal number becomes null.
 
-    The cast alone would also take "5d", "NaN" or "Infinity"; a decimal number ends with
-    a digit or a point, which costs less to test than a pattern.
+    The cast alone would also take "5d", "NaN", "Infinity" or "0x1p3"; a decimal number
+    ends with a digit or a point and has no x, which costs less to test than a pattern.
     """
     trimmed = F.trim(text.cast("string"))
-    return F.when(F.substring(trimmed, -1, 1).between(".", "9"), trimmed.try_cast("double"))
+    plain = F.substring(trimmed, -1, 1).between(".", "9") & ~F.lower(trimmed).contains("x")
+    return F.when(plain, trimmed.try_cast("double"))
+
+
+def to_code(text: Column) -> Column:
+    """Whole number of an id or code column; fractions and numbers beyond 32 bits become null."""
+    number = to_number(text)
+    return F.when(number % 1 == 0, number.try_cast("int"))
 
 
 def drop_sentinels(number: Column) -> Column:

@@ -21,6 +21,7 @@ from emberday.operators.features import categorical_names, feature_names
 from emberday.operators.metrics import classification_metrics
 from emberday.operators.sequences import fit_scale, flattened, standardised
 from emberday.operators.splits import LABEL, class_weights, holdout_cutoff
+from emberday.session import release, written
 
 # Inputs of the older daily models.
 DAILY_FEATURES = ("TA", "POP", "is_precip", "WD_sin", "WD_cos", "SKY")
@@ -86,9 +87,12 @@ def fit_logistic(
     data = typed_inputs(train, features.numeric, features.categorical, fill=False)
     rows, positive, _ = _class_counts(data, label)
     stages = linear_stages(data, features.numeric, features.categorical)
-    ready = stages.transform(data).select(
-        label, "features", balanced_weight(F.col(label), rows, positive).alias("weight")
-    ).persist()
+    ready = written(
+        stages.transform(data).select(
+            label, "features", balanced_weight(F.col(label), rows, positive).alias("weight")
+        ),
+        "fit",
+    )
     try:
         fitted = LogisticRegression(
             featuresCol="features",
@@ -100,7 +104,7 @@ def fit_logistic(
             maxIter=max_iter,
         ).fit(ready)
     finally:
-        ready.unpersist()
+        release(ready)
     params = {"class_weight": "balanced", "max_iter": max_iter, "reg_param": 1.0 / rows}
     return Fit(PipelineModel([*stages.stages, fitted]), "logistic", features, params)
 
@@ -124,7 +128,7 @@ def fit_boosted(
     """
     data = typed_inputs(train, features.numeric, features.categorical, fill=True)
     stages, bins = tree_stages(data, features.numeric, features.categorical, label)
-    ready = stages.transform(data).select("date", label, "features").persist()
+    ready = written(stages.transform(data).select("date", label, "features"), "fit")
     try:
         best = rounds
         if validation_days is not None:
@@ -133,7 +137,7 @@ def fit_boosted(
             best = best_round(early, ready.filter(F.col("date") >= cutoff), label)
         fitted = _boost(ready, label, best, depth, rate, bins, balanced, seed)
     finally:
-        ready.unpersist()
+        release(ready)
     params = {
         "rounds": best, "max_rounds": rounds, "depth": depth, "rate": rate,
         "balanced": balanced, "seed": seed,
@@ -243,14 +247,13 @@ def fit_sequence(train: DataFrame, label: str = LABEL, max_iter: int = 1000) ->
     """Balanced logistic regression on the standardised, flattened 14-day histories."""
     scale = {f: list(v) for f, v in fit_scale(train).first().asDict().items()}
     rows, positive, _ = _class_counts(train, label)
-    ready = (
-        _sequence_vectors(train, scale)
-        .select(
+    ready = written(
+        _sequence_vectors(train, scale).select(
             F.col(label).cast("double").alias(label),
             "features",
             balanced_weight(F.col(label), rows, positive).alias("weight"),
-        )
-        .persist()
+        ),
+        "fit",
     )
     try:
         fitted = LogisticRegression(
@@ -258,7 +261,7 @@ def fit_sequence(train: DataFrame, label: str = LABEL, max_iter: int = 1000) ->
             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
         ).fit(ready)
     finally:
-        ready.unpersist()
+        release(ready)
     params = {"class_weight": "balanced", "max_iter": max_iter, "reg_param": 1.0 / rows}
     return SequenceFit(PipelineModel([fitted]), scale, params)
 

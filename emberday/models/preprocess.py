@@ -23,9 +23,9 @@ from emberday.operators.prefix import exact_quantiles
 
 # Missing numbers are smaller than every value for a tree.
 TREE_MISSING = -1.0e9
-# Above this many values a category is target-encoded instead of indexed: tree bins and
-# one-hot slots grow with the values, and station ids grow with the network.
-MAX_INDEXED_VALUES = 256
+# Categories whose values grow with the network are target-encoded, by name and at any size,
+# so that the same data set gives the same kind of model with ten stations and ten thousand.
+TARGET_ENCODED = ("station_id",)
 
 
 def typed_inputs(
@@ -142,12 +142,15 @@ def tree_stages(
     categorical: Sequence[str],
     label: str,
     output: str = "features",
-    max_indexed: int = MAX_INDEXED_VALUES,
+    target_encoded: Sequence[str] = TARGET_ENCODED,
 ) -> tuple[PipelineModel, int]:
-    """Missing numbers below all others, categories indexed; also the bins trees need."""
-    sizes = _distinct_values(train, categorical) if categorical else {}
-    small = [c for c in categorical if sizes.get(c, 0) <= max_indexed]
-    large = [c for c in categorical if c not in small]
+    """Missing numbers below all others, categories indexed; also the bins trees need.
+
+    The categories named in ``target_encoded`` become smoothed label means instead.
+    """
+    large = [c for c in categorical if c in target_encoded]
+    small = [c for c in categorical if c not in large]
+    sizes = _distinct_values(train, small) if small else {}
 
     parts = [f"coalesce(`{c}`, {TREE_MISSING!r}D) AS `{c}__n`" for c in numeric]
     parts += [f"coalesce(`{c}`, {_sql_text(MISSING_CATEGORY)}) AS `{c}__c`" for c in categorical]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberday.functions.parsing import clean_code, parse_obs_timestamp, to_number
+from emberday.functions.parsing import clean_code, parse_obs_timestamp, to_code, to_number
 from emberday.operators.daily import most_frequent
 
 _KEYS = ("forecast_region_id", "date")
@@ -19,7 +19,7 @@ def normalise_forecast(raw: DataFrame) -> DataFrame:
         parse_obs_timestamp(F.col("TM_EF")).alias("forecast_effective_ts"),
         to_number(F.col("ST")).alias("POP"),
         clean_code(F.col("SKY")).alias("SKY"),
-        to_number(F.col("PREP")).cast("int").alias("forecast_precip_code"),
+        to_code(F.col("PREP")).alias("forecast_precip_code"),
     ).withColumn("date", F.to_date("forecast_effective_ts"))
 
 

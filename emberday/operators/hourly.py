@@ -13,6 +13,7 @@ from emberday.functions.parsing import (
     parse_daily_date,
     parse_obs_timestamp,
     pick_column,
+    to_code,
     to_number,
 )
 
@@ -79,7 +80,7 @@ def hourly_observations(
     named = select_aliased(raw, aliases, required=("station_id", "obs_ts"))
     named = with_absent_columns(named, {**{m: "double" for m in MEASURES}, "SKY": "string"})
     typed = named.select(
-        to_number(F.col("station_id")).cast("int").alias("station_id"),
+        to_code(F.col("station_id")).alias("station_id"),
         parse_obs_timestamp(F.col("obs_ts")).alias("obs_ts"),
         *[to_number(F.col(m)).alias(m) for m in MEASURES],
         clean_code(F.col("SKY")).alias("SKY"),
@@ -105,7 +106,7 @@ def daily_file_rows(
     named = select_aliased(raw, aliases, required=("station_id", "date"))
     measures = [c for c in ("TA", "TMN", "TMX", "RN") if c in named.columns]
     typed = named.select(
-        to_number(F.col("station_id")).cast("int").alias("station_id"),
+        to_code(F.col("station_id")).alias("station_id"),
         parse_daily_date(F.col("date")).alias("date"),
         *[to_number(F.col(m)).alias(m) for m in measures],
     ).filter(F.col("station_id").isNotNull() & F.col("date").isNotNull())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberday.functions.weather import SKY_LEVELS
 from emberday.operators.prefix import exact_quantiles
+from emberday.session import written
 
 KEYS = ("station_id", "date")
 
@@ -131,6 +132,7 @@ def date_gap_counts(df: DataFrame, left: str = "date", right: str = "fire_date")
 
 def number_summary(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, quartiles and max of one column, quartiles exact."""
+    df = written(df.select(column), "summary")
     basics = df.agg(
         F.count(column).alias("count"),
         F.avg(column).alias("mean"),
@@ -139,10 +141,9 @@ def number_summary(df: DataFrame, column: str) -> DataFrame:
         F.max(column).alias("max"),
     )
     quartiles = exact_quantiles(df, [], column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return basics.select(
-        "count", "mean", "std", "min",
-        *[quartiles.select(q).scalar().alias(q) for q in ("p25", "p50", "p75")],
-        "max",
+    three = quartiles.select(F.struct("p25", "p50", "p75")).scalar()
+    return basics.withColumn("_q", three).select(
+        "count", "mean", "std", "min", "_q.p25", "_q.p50", "_q.p75", "max",
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberday.functions.weather import SKY_LEVELS, sky_one_hot
 from emberday.operators.features import by_station
 from emberday.operators.prefix import dense_index
+from emberday.session import written
 
 SEQUENCE_DAYS = 14
 CHANNELS = (
@@ -29,6 +30,7 @@ def sequence_samples(
     ``x_dyn`` holds the ``days`` previous rows, oldest first, the sample's own day left
     out. A sample needs a full history without any missing value, and a label.
     """
+    base = written(base, "sequence-base")
     encoded = base.join(dense_index(base, "station_id", "station_id_encoded"), "station_id")
     encoded = encoded.select("*", *sky_one_hot(F.col("SKY_day")))
 

@@ -10,7 +10,7 @@ from emberday.functions.parsing import (
     clean_measure,
     parse_obs_timestamp,
     pick_column,
-    to_number,
+    to_code,
 )
 from emberday.functions.weather import precip_flag, sky_code, wind_cos, wind_sin
 from emberday.operators.base import fire_labels, station_day_base
@@ -46,7 +46,7 @@ def contract_hourly(
     wind = measure("WD")
     weather = [(measure(c), codes) for c, codes in wet_codes.items() if codes]
     typed = observations.select(
-        to_number(F.col("STN")).cast("int").alias("station_id"),
+        to_code(F.col("STN")).alias("station_id"),
         parse_obs_timestamp(F.col("TM")).alias("obs_ts"),
         measure("TA").alias("TA"),
         F.lit(None).cast("double").alias("POP"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
+import io
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -13,7 +16,7 @@ from emberday.functions.parsing import pick_column
 from emberday.operators.hourly import hourly_observations
 
 FALLBACK_ENCODING = "cp949"
-_PEEK_BYTES = 1 << 16
+_CHUNK_BYTES = 1 << 20
 # Column names the header audit looks for: fixed values.
 AUDIT_ALIASES: dict[str, tuple[str, ...]] = {
     "stn_col": ("STN", "stn", "stnid", "지점", "지점번호"),
@@ -24,54 +27,85 @@ AUDIT_ALIASES: dict[str, tuple[str, ...]] = {
 }
 
 
-def _first_line(path: str) -> tuple[str, str]:
-    """Header text of a file and the encoding it is valid in."""
+def _inspect(path: str) -> tuple[str, str, bool]:
+    """Header text of a file, the encoding the whole file is valid in, and whether records span lines.
+
+    The file is read once as a stream of chunks. UTF-8 holds if no byte contradicts it. A
+    record spans lines where a physical line holds an odd number of quotes.
+    """
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    valid, spans, header, line = True, False, b"", b""
+    header_open = True
     with system.open_input_stream(inner) as stream:
-        head = stream.read(_PEEK_BYTES)
-    line = head.split(b"\n", 1)[0].rstrip(b"\r")
-    try:
-        return line.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError:
-        return line.decode(FALLBACK_ENCODING), FALLBACK_ENCODING
+        while chunk := stream.read(_CHUNK_BYTES):
+            if valid:
+                try:
+                    decoder.decode(chunk)
+                except UnicodeDecodeError:
+                    valid = False
+            first, *rest = chunk.split(b"\n")
+            line += first
+            for after in rest:
+                spans |= line.count(b'"') % 2 == 1
+                if header_open:
+                    header += line
+                    # a quoted line break belongs to the header
+                    header_open = header.count(b'"') % 2 == 1
+                    header += b"\n" if header_open else b""
+                line = after
+    if header_open:
+        header += line
+    if valid:
+        try:
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            valid = False
+    encoding = "UTF-8" if valid else FALLBACK_ENCODING
+    return header.rstrip(b"\r").decode("utf-8-sig" if valid else encoding, "replace"), encoding, spans
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header record, quotes removed."""
+    return next(csv.reader(io.StringIO(header)), [])
 
 
 def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        lines = [_first_line(path) for path in batch["path"]]
-        yield batch.assign(header=[h for h, _ in lines], encoding=[e for _, e in lines])
+        found = [_inspect(path) for path in batch["path"]]
+        columns = list(zip(*found)) or [(), (), ()]
+        yield batch.assign(header=list(columns[0]), encoding=list(columns[1]), spans_lines=list(columns[2]))
 
 
 def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, length, header, encoding) per file; executors read only the first bytes."""
+    """(path, length, header, encoding, spans_lines) per file, found by the executors."""
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(folder)
         .select("path", "length")
     )
-    return listing.mapInPandas(_peek, "path string, length long, header string, encoding string")
+    return listing.mapInPandas(
+        _peek, "path string, length long, header string, encoding string, spans_lines boolean"
+    )
 
 
 def csv_groups(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[DataFrame]:
-    """One frame of text columns per distinct header and encoding, with ``__source_file``.
+    """One frame of text columns per distinct header, encoding and record form, with ``__source_file``.
 
-    The driver loops over the groups, not the files; every group is one scan.
+    The driver handles one short row per file, as Spark's own file listing does, and loops
+    over the groups, not the files; every group is one scan.
     """
-    groups = (
-        file_headers(spark, folder, pattern)
-        .groupBy("header", "encoding")
-        .agg(F.array_sort(F.collect_list("path")).alias("paths"))
-        .orderBy("header", "encoding")
-        .collect()
-    )
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for f in file_headers(spark, folder, pattern).toLocalIterator():
+        groups.setdefault((f.header, f.encoding, f.spans_lines), []).append(f.path)
     if not groups:
         raise FileNotFoundError(f"no {pattern} in {folder}")
-    if any(g.encoding == FALLBACK_ENCODING for g in groups):
+    if any(encoding == FALLBACK_ENCODING for _, encoding, _ in groups):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return [_read_group(spark, g.paths, g.encoding) for g in groups]
+    return [_read_group(spark, sorted(paths), *form) for form, paths in sorted(groups.items())]
 
 
 def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
@@ -92,11 +126,22 @@ def read_hourly_folder(spark: SparkSession, folder: str, pattern: str = "*.csv")
     )
 
 
-def _read_group(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+def _read_group(
+    spark: SparkSession, paths: Sequence[str], header: str, encoding: str, spans_lines: bool
+) -> DataFrame:
+    """Columns are read by position and named from the header; of equal names the last one stays."""
+    names = header_names(header)
     frame = (
-        spark.read.option("header", True).option("encoding", encoding).csv(list(paths))
+        spark.read.schema(", ".join(f"`_{k}` string" for k in range(len(names))))
+        .option("header", True)
+        .option("encoding", encoding)
+        .option("multiLine", spans_lines)
+        .option("escape", '"')
+        .csv(list(paths))
     )
-    return frame.select("*", F.col("_metadata.file_name").alias("__source_file"))
+    last = {name.strip().lower(): k for k, name in enumerate(names)}
+    kept = [F.col(f"_{k}").alias(names[k]) for k in sorted(last.values()) if names[k].strip()]
+    return frame.select(*kept, F.col("_metadata.file_name").alias("__source_file"))
 
 
 def header_audit(
@@ -108,7 +153,7 @@ def header_audit(
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [
-                [pick_column(header.split(","), aliases[n]) for n in names]
+                [pick_column(header_names(header), aliases[n]) for n in names]
                 for header in batch["header"]
             ]
             hits = pd.DataFrame(found, columns=names, index=batch.index, dtype=object)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberday.functions.parsing import to_number
+from emberday.functions.parsing import to_code, to_number
 
 # The two built-in stations.
 DEFAULT_STATIONS = (
@@ -58,7 +58,7 @@ def default_stations(spark: SparkSession) -> DataFrame:
 def stations_from_contract(meta: DataFrame) -> DataFrame:
     """Contract station table (STN_ID, LON, LAT, FCT_ID) under the internal names."""
     return meta.select(
-        to_number(F.col("STN_ID")).cast("int").alias("station_id"),
+        to_code(F.col("STN_ID")).alias("station_id"),
         to_number(F.col("LAT")).alias("stn_lat"),
         to_number(F.col("LON")).alias("stn_lon"),
         F.col("FCT_ID").cast("string").alias("forecast_region_id"),

@@ -138,3 +138,25 @@ def test_contract_tables_to_base(spark):
     assert (first.fire_label, first.is_precip_day, first.obs_cnt_sel) == (1, 0, 2)
     assert first.WD_sin_day == pytest.approx((0.0 + -0.3420201433) / 2)
     assert (second.station_id, second.TA_day, second.fire_label) == (105, None, 0)
+
+
+def test_bad_ids_and_dates_leave_the_job_running(spark):
+    events = spark.createDataFrame(
+        [("104", "2021-03-25"), ("999999999999", "2021-03-25"), ("104.5", "2021-03-25"), ("0x10", "2021-03-25"), ("105", "n/a")],
+        "station_id string, fire_date string",
+    )
+    assert [(r.station_id, r.date) for r in fire_labels(events).collect()] == [(104, D)]
+
+
+def test_a_station_at_two_places_or_a_repeated_day_fails(spark):
+    from emberday.operators.base import station_day_base
+
+    labels = spark.createDataFrame([(1, D, 1)], "station_id int, date date, fire_label int")
+    daily = spark.createDataFrame([(1, D, 5.0)], "station_id int, date date, TA_day double")
+    two = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 4.0)], "station_id int, stn_lat double, stn_lon double")
+    one = two.limit(1)
+    assert station_day_base(daily, one.union(one), labels).count() == 1
+    with pytest.raises(Exception, match="more than one station"):
+        station_day_base(daily, two, labels).collect()
+    with pytest.raises(Exception, match="more than one daily"):
+        station_day_base(daily.union(daily), one, labels).collect()

@@ -28,7 +28,7 @@ from emberday.plans.training import (
     train_and_save,
     train_and_save_sequence,
 )
-from emberday.sources.csv_files import header_audit, read_csv_folder
+from emberday.sources.csv_files import header_audit, read_csv_folder, read_hourly_folder
 from emberday.sources.sinks import operating_threshold_update, write_csv, write_predictions
 from emberday.sources.tables import read_model_meta
 
@@ -120,7 +120,7 @@ def test_boosted_with_round_selection_and_many_categories(table):
     assert len(fit.model.stages[-1].trees) == fit.params["rounds"]
     assert classification_metrics(score(fit, train, "m", ["fire_label"])).first().roc_auc > 0.9
     typed = train.withColumn("fire_label", F.col("fire_label").cast("double"))
-    stages, bins = tree_stages(typed, ["a"], ["c"], "fire_label", max_indexed=10)
+    stages, bins = tree_stages(typed, ["a"], ["c"], "fire_label", target_encoded=["c"])
     assert bins == 32 and stages.transform(typed).select("features").first().features.size == 2
 
 
@@ -242,3 +242,20 @@ def test_csv_folder_to_datasets(spark, tmp_path):
     }
     write_csv(scored, str(tmp_path / "scored"))
     assert spark.read.option("header", True).csv(str(tmp_path / "scored")).count() == 22
+
+
+def test_raw_files_with_quotes_breaks_repeats_and_late_encoding(spark, tmp_path):
+    raw = tmp_path / "odd"
+    raw.mkdir()
+    # cp949 shows only in the body, far behind an ASCII header
+    late = "STN,TM,SKY\n" + "104,202001010000,A\n" * 200_000 + "105,202001010000,맑음\n"
+    (raw / "late.csv").write_bytes(late.encode("cp949"))
+    (raw / "quoted.csv").write_text('"STN","TM","SKY"\n104,202001010000,"line\nbreak ""x"""\n', encoding="utf-8")
+    (raw / "twice.csv").write_text("STN,TM,TA,ta\n104,202001010000,1.5,2.5\n", encoding="utf-8")
+    rows = {r["__source_file"]: r for r in read_csv_folder(spark, str(raw)).where("STN <> '104' or __source_file <> 'late.csv'").collect()}
+    assert rows["late.csv"].SKY == "맑음"
+    assert rows["quoted.csv"].SKY == 'line\nbreak "x"'
+    hourly = read_hourly_folder(spark, str(raw))
+    assert [r.TA for r in hourly.where("TA is not null").collect()] == [2.5]
+    audit = {r.file: r.stn_col for r in header_audit(spark, str(raw)).collect()}
+    assert audit["quoted.csv"] == "STN"
