@@ -123,9 +123,11 @@ def votes(hits: np.ndarray, n_words: int, group: np.ndarray) -> int:
 def label_model(patterns: np.ndarray, unknown: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """P(toxic) of each vote pattern; the arrays count unlabelled, clean and toxic rows with it."""
     bits = (patterns[:, None] >> np.arange(VOTERS)) & 1
-    cliques = [[k] for k in range(VOTERS)]
+    # voters that always fire together must not outvote the others, so joined ones count once
     posterior = np.clip(bits.mean(axis=1) * 2, 0.02, 0.98)
-    for _ in range(2):
+    cliques = _cliques(bits, posterior, unknown, clean, toxic)
+    posterior = np.clip(np.mean([bits[:, c].any(axis=1) for c in cliques], axis=0) * 2, 0.02, 0.98)
+    for _ in range(3):
         posterior = _fit_mixture(bits, cliques, posterior, unknown, clean, toxic)
         cliques = _cliques(bits, posterior, unknown, clean, toxic)
     return posterior
