@@ -80,6 +80,13 @@ class CountTree:
 
     def edit(self, start: int, stop: int, insert: str = "") -> None:
         """Replace characters ``start`` to ``stop`` (cut to the text) by ``insert``."""
+        self.close(*next(iter(self._encode.word_counts([self.open(start, stop, insert)]))))
+
+    def open(self, start: int, stop: int, insert: str = "") -> str:
+        """Change the text; returns what ``close`` needs the words of.
+
+        In two steps, so that the regions of many documents are encoded together.
+        """
         start = max(0, min(start, len(self.text)))
         stop = max(start, min(stop, len(self.text)))
         first_block, first, begin = self._leaf_at(start)
@@ -97,16 +104,15 @@ class CountTree:
         region = self.text[begin:start] + insert + self.text[stop:end]
         self.text = self.text[:start] + insert + self.text[stop:]
         self.read += len(region)
-        sizes, counts = self._leaves_of(region, begin > 0)
-        self._splice(first_block, first, last_block, last, sizes, counts)
+        self._pending = (first_block, first, last_block, last, begin > 0)
+        # an inner region begins with a leaf's space; a mark in front keeps it there
+        return f"x{region}" if begin > 0 else region
 
-    def _leaves_of(self, region: str, inner: bool) -> tuple[list[int], list[int]]:
-        """Leaves of a region; an inner one begins with a leaf's space, which a mark in front keeps."""
-        if not inner:
-            sizes, counts = next(iter(self._encode.word_counts([region])))
-            return list(sizes), [int(c) for c in counts]
-        sizes, counts = next(iter(self._encode.word_counts([f"x{region}"])))
-        return list(sizes[1:]), [int(c) for c in counts[1:]]
+    def close(self, sizes: Sequence[int], counts: Sequence[int]) -> None:
+        """Put in the leaves of the region that ``open`` returned, and update the sums above."""
+        *span, marked = self._pending
+        skip = 1 if marked else 0
+        self._splice(*span, list(sizes[skip:]), [int(c) for c in counts[skip:]])
 
     def _splice(self, b0: int, i0: int, b1: int, i1: int, sizes: list[int], counts: list[int]) -> None:
         head, tail = self._blocks[b0], self._blocks[b1]
@@ -155,15 +161,15 @@ def edited_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             ids, texts, edits = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("edits").to_pylist()
             for part in S.slices_of(texts):
-                rows = []
-                # all leaves first: edits may make the encoder forget words
-                trees = [CountTree(t, encode, leaves) for t, leaves in zip(texts[part], list(encode.word_counts(texts[part])))]
-                for tree, todo in zip(trees, edits[part]):
-                    before = tree.total
-                    for e in todo or []:
-                        tree.edit(e["start"] or 0, e["stop"] or 0, e["insert"] or "")
-                    rows.append((before, len(todo or []), tree.total, tree.read))
-                before, n, after, read = zip(*rows)
+                trees = [CountTree(t, encode, leaves) for t, leaves in zip(texts[part], encode.word_counts(texts[part]))]
+                before = [tree.total for tree in trees]
+                n = [len(todo or []) for todo in edits[part]]
+                for k in range(max(n)):  # the k-th edits of all documents are encoded together
+                    now = [(tree, todo[k]) for tree, todo, m in zip(trees, edits[part], n) if m > k]
+                    regions = [tree.open(e["start"] or 0, e["stop"] or 0, e["insert"] or "") for tree, e in now]
+                    for (tree, _), leaves in zip(now, encode.word_counts(regions)):
+                        tree.close(*leaves)
+                after, read = [tree.total for tree in trees], [tree.read for tree in trees]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": ids.slice(part.start, part.stop - part.start), "n_tokens": pa.array(before, pa.int64()),
