@@ -12,9 +12,9 @@ shingles (the whole word sequence when there are fewer words). Steps:
    on the texts.
 4. Buckets whose members already are one class are settled. In the others every pair of
    members of different classes is looked at, in blocks of bounded size: a parity bitmap
-   bounds the symmetric difference from below, survivors are verified. A first pass takes
-   only the likeliest partner of each member and class, so that a family of near copies
-   becomes one class before the exhaustive pass.
+   bounds the symmetric difference from below, survivors are verified. A first pass over the
+   larger buckets takes only the likeliest partner of each member and class, so that a family
+   of near copies becomes one class before the exhaustive pass.
 
 Links inside a class need no check once the class is known, so a family of m near copies
 costs about m verified pairs, and no bucket is cut or skipped.
@@ -156,13 +156,14 @@ def prefix_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame | None:
     """The pairs ``(a, b)`` of nodes whose whole texts link, by exact intersection of their sets.
 
-    ``wanted`` names the row of ``docs`` each node stands for. Only texts of nodes that occur
+    ``wanted`` has the size and bitmap of each node and names the row of ``docs`` it stands
+    for. Pairs that the bitmaps rule out go before any text is read. Only texts of nodes that occur
     in a pair are moved: their ids go to the scan as a broadcast up to ``BROADCAST_NODES``
     rows, beyond that both sides are exchanged. None without pairs.
     """
-    pairs = written(pairs, "ngram-pairs")
+    pairs = written(_possible(pairs, wanted), "ngram-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = written(wanted.join(ends, "node"), "ngram-needed")
+    needed = written(wanted.select("node", "id", "text_hash").join(ends, "node"), "ngram-needed")
     count = needed.count()
     if not count:
         return None
@@ -192,6 +193,27 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame
     return written(loaded.mapInArrow(check, "a bigint, b bigint"), "ngram-links")
 
 
+def _possible(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps allow as small a symmetric difference as a link has."""
+    one, other = (
+        wanted.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bits_{k}"))
+        for k in ("a", "b")
+    )
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
+                size = min(len(x), len(y)) // 8
+                apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                keep.append(apart <= n + m - 2 * required_overlap(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(
+        check, "a bigint, b bigint"
+    )
+
+
 # ---------------------------------------------------------------- candidates
 
 
@@ -303,6 +325,8 @@ def _cell_pairs(cell: pa.Table, best_only: bool) -> pa.RecordBatch | None:
     ids, n, block = (cell.column(k).to_numpy() for k in ("node", "n", "block"))
     lo, hi = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
     bitmaps = cell.column("bitmap").to_pylist()
+    length = np.array([len(b) for b in bitmaps])
+    folded: dict[int, np.ndarray] = {}  # by length: the bitmaps of at least that length, folded to it
     left, right = [], []
     for i in range(len(ids)):
         if lo == hi:
@@ -316,9 +340,11 @@ def _cell_pairs(cell: pa.Table, best_only: bool) -> pa.RecordBatch | None:
         js = js[small * 100 >= large * _PERCENT]
         if not len(js):
             continue
-        size = min(len(bitmaps[i]), *(len(bitmaps[j]) for j in js)) // 8
-        mine = _folded(bitmaps[i], size)
-        apart = np.bitwise_count(np.stack([_folded(bitmaps[j], size) for j in js]) ^ mine).sum(axis=1)
+        size = int(min(length[i], length[js].min())) // 8
+        if size not in folded:
+            none = np.zeros(size, np.uint64)
+            folded[size] = np.stack([_folded(b, size) if len(b) >= 8 * size else none for b in bitmaps])
+        apart = np.bitwise_count(folded[size][js] ^ folded[size][i]).sum(axis=1)
         allowed = n[js] + n[i] - 2 * required_overlap(n[js], n[i])
         keep = apart <= allowed
         js, apart = js[keep], apart[keep]
@@ -380,7 +406,9 @@ def _row_classes(docs: DataFrame) -> DataFrame:
     shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = written(postings.join(shared, "token"), "ngram-postings")
 
-    wanted = members.select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("text_hash"))
+    wanted = members.select(
+        "node", "n", "bitmap", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("text_hash")
+    )
 
     found = _pivot_pairs(postings).join(
         members.select(F.col("grp").alias("h"), F.col("node").alias("m")), "h"
@@ -396,7 +424,9 @@ def _row_classes(docs: DataFrame) -> DataFrame:
     bitmaps = members.select("node", "bitmap")
     for best_only in (True, False):
         rows = written(_open_rows(memberships, classes), "ngram-open")
-        found = _small_bucket_pairs(rows).unionByName(_block_pairs(rows, bitmaps, best_only))
+        found = _block_pairs(rows, bitmaps, best_only)
+        if not best_only:
+            found = found.unionByName(_small_bucket_pairs(rows))
         more = verified(found.distinct(), wanted, docs)
         if more is not None:
             links = more if links is None else links.unionByName(more)
