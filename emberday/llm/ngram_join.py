@@ -36,7 +36,7 @@ from emberday.session import written
 
 SKETCH_BITS = 18
 _STRIPE = 1 << 12
-BLOCK = 256
+BLOCK = 2048
 SMALL_BUCKET = 16
 BROADCAST_NODES = 1_000_000
 _SIG_BITS_PER_ITEM = 4
