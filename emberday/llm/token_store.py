@@ -104,32 +104,36 @@ class Segment:
 
 
 def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int) -> None:
-    """Encode every whole text and write ``(part, seq, doc_ids, counts, segment)`` rows to ``path``.
+    """Encode every whole text and write ``(part, seq, offset, doc_ids, counts, segment)`` rows to ``path``.
 
-    Each document is followed by the id ``END_ID``; null and empty texts are just that. Equal
-    doc_ids are ordered by their texts; a null doc_id comes first. A segment holds whole
+    ``offset`` counts the ids before a segment within its partition. Each document is followed
+    by the id ``END_ID``; null and empty texts are just that. Equal doc_ids are ordered by a
+    hash of their texts, then by the texts; a null doc_id comes first. A segment holds whole
     documents, about ``SEGMENT_TOKENS`` tokens, or one longer document.
     """
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = dict(docs.dtypes)["doc_id"]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, offset = TaskContext.get().partitionId(), 0, 0
         held: list = []
         size = 0
         for doc_ids, counts, ids in _encoded(batches, tokenizer):
             held.append((doc_ids, counts, ids))
             size += len(ids)
             if size >= SEGMENT_TOKENS:
-                yield _segment_row(part, seq, held, id_type)
-                held, size, seq = [], 0, seq + 1
+                yield _segment_row(part, seq, offset, held, id_type)
+                held, size, seq, offset = [], 0, seq + 1, offset + size
         if held:
-            yield _segment_row(part, seq, held, id_type)
+            yield _segment_row(part, seq, offset, held, id_type)
 
+    # the range bounds are sampled from short keys, never from texts
     ordered = (
-        docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+        .repartitionByRange(partitions, "doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
     )
-    schema = f"part int, seq int, doc_ids array<{kind}>, counts array<bigint>, segment binary"
+    schema = f"part int, seq int, offset bigint, doc_ids array<{kind}>, counts array<bigint>, segment binary"
     ordered.mapInArrow(segments, schema).write.parquet(path)
 
 
@@ -144,34 +148,30 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tupl
             yield doc_ids[piece], counts + 1, ids
 
 
-def _segment_row(part: int, seq: int, held: list, id_type: pa.DataType) -> pa.RecordBatch:
+def _segment_row(part: int, seq: int, offset: int, held: list, id_type: pa.DataType) -> pa.RecordBatch:
     doc_ids = [d for docs, _, _ in held for d in docs]
     counts = np.concatenate([c for _, c, _ in held])
     ids = np.concatenate([i for _, _, i in held])
     return pa.RecordBatch.from_pydict(
         {
             "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),
+            "offset": pa.array([offset], pa.int64()),
             "doc_ids": pa.array([doc_ids], pa.list_(id_type)), "counts": pa.array([counts], pa.list_(pa.int64())),
             "segment": pa.array([pack(ids)], pa.binary()),
         }
     )
 
 
-def directory(store: DataFrame) -> DataFrame:
-    """``(part, seq, start)``: ids before each segment. Reads counts only.
+def placed(store: DataFrame) -> DataFrame:
+    """The segments with ``start``, the number of ids before each in the whole store.
 
-    Totals are running sums over the partitions, one row each, and inside a partition over its
-    segments, so no task orders documents.
+    Only the totals of the partitions are summed up, a row for each partition of the write;
+    that table is broadcast and the segments stay where they are.
     """
-    sizes = store.select("part", "seq", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c).alias("n"))
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("total"))
-    before = parts.select(
-        "part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before")
-    )
-    inside = W.partitionBy("part").orderBy("seq")
-    return sizes.join(before, "part").select(
-        "part", "seq", (F.col("before") + F.sum("n").over(inside) - F.col("n")).alias("start")
-    )
+    size = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)
+    totals = store.select("part", size.alias("n")).groupBy("part").agg(F.sum("n").alias("total"))
+    before = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
+    return store.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("offset")).drop("before")
 
 
 def read_documents(store: DataFrame) -> DataFrame:
@@ -194,8 +194,8 @@ def read_documents(store: DataFrame) -> DataFrame:
                     }
                 )
 
-    placed = store.join(directory(store), ["part", "seq"]).select("doc_ids", "counts", "start", "segment")
-    return placed.mapInArrow(decode, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = placed(store).select("doc_ids", "counts", "start", "segment")
+    return rows.mapInArrow(decode, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
 
     Positions outside the store give no row; a repeated position gives one row each time.
     """
-    sizes = store.join(directory(store), ["part", "seq"]).select(
+    sizes = placed(store).select(
         "part", "seq", "start",
         (F.col("start") + F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)).alias("stop"),
     )

@@ -53,9 +53,10 @@ def test_store_round_trip(spark, reference, monkeypatch):
     docs = [(100 - i, t, 7) for i, t in enumerate(TEXTS)] + [(None, "no id", 7), (95, "again", 7)]
     df = spark.createDataFrame(docs, "doc_id long, text string, start int")
     got = sorted((r.doc_id is not None, r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in T.encoded_documents(df, PATH, 3).collect())
-    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or ""))
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
     want, at = [], 0
-    for doc_id, text, _ in order:
+    for doc_id, text in order:
         ids = np.array(reference(text) + [0], "<u4")
         want.append((doc_id is not None, doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
