@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from emberday.llm import ngram_join
 from emberday.llm.components import components
 from emberday.llm.ngram_join import jaccard_classes, one_of_each_class
 
@@ -58,7 +59,10 @@ def documents():
     return [(i * 3, t) for i, t in enumerate(texts)] + [(3, texts[2]), (6, "quite another text here now"), (None, texts[5])]
 
 
-def test_classes_match_brute_force(spark, documents):
+@pytest.mark.parametrize("block, small", [(2048, 16), (8, 2)])
+def test_classes_match_brute_force(spark, documents, monkeypatch, block, small):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in documents], SCHEMA)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(df).collect()]
     assert sorted(got, key=str) == brute(documents)
