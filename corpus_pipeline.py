@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written in directly addressable codes; a row per document as read back."""
-    return token_store.encoded_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"))
+    return token_store.encoded_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"), special=True)
 
 
 STAGES = [

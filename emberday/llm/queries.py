@@ -59,7 +59,7 @@ def op4_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_directly_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.encoded_documents(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_store.encoded_documents(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), special=True)
 
 
 def three_edits(docs: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def three_edits(docs: DataFrame) -> DataFrame:
 
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = three_edits(_read(spark, sf_dir, "documents"))
-    return token_counts.edited_counts(docs, tokenizer_file("byte_bpe_50k.json"))
+    return token_counts.edited_counts(docs, tokenizer_file("byte_bpe_50k.json"), special=True)
 
 
 def op7_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,19 +145,19 @@ def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(lists, "doc_id", "left")
 
 
-def edited_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+def edited_counts(docs: DataFrame, tokenizer: str, special: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, n_edits, n_tokens_edited, chars_encoded)`` for every row.
 
     ``docs`` has ``doc_id``, ``text`` and ``edits``, an array of (start, stop, insert) applied
     one after the other in character positions of the text as it then stands. Positions beyond
     the text are cut to it, a stop before its start inserts only, a null position is 0 and a
     null insert empty. Null texts count as empty, null edit lists as none. ``chars_encoded`` is
-    what the edits read again. Repeated rows are counted each.
+    what the edits read again. Repeated rows are counted each. ``special`` is that of the encoder.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special)
         for batch in batches:
             ids, texts, edits = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("edits").to_pylist()
             for part in S.slices_of(texts):

@@ -103,13 +103,14 @@ class Segment:
         return out
 
 
-def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int) -> None:
+def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int, special: bool = False) -> None:
     """Encode every whole text and write ``(part, seq, offset, doc_ids, counts, segment)`` rows to ``path``.
 
     ``offset`` counts the ids before a segment within its partition. Each document is followed
     by the id ``END_ID``; null and empty texts are just that. Equal doc_ids are ordered by a
     hash of their texts, then by the texts; a null doc_id comes first. A segment holds whole
-    documents, about ``SEGMENT_TOKENS`` tokens, or one longer document.
+    documents, about ``SEGMENT_TOKENS`` tokens, or one longer document. ``special`` is that of
+    the encoder.
     """
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = dict(docs.dtypes)["doc_id"]
@@ -118,7 +119,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int) ->
         part, seq, offset = TaskContext.get().partitionId(), 0, 0
         held: list = []
         size = 0
-        for doc_ids, counts, ids in _encoded(batches, tokenizer):
+        for doc_ids, counts, ids in _encoded(batches, tokenizer, special):
             held.append((doc_ids, counts, ids))
             size += len(ids)
             if size >= SEGMENT_TOKENS:
@@ -137,9 +138,9 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int) ->
     ordered.mapInArrow(segments, schema).write.parquet(path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, special: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Document ids, token counts and ids of slices of documents, end ids included."""
-    encode = encoder(tokenizer).encode
+    encode = encoder(tokenizer, special).encode
     for batch in batches:
         texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
         for piece in S.slices_of(texts, SEGMENT_TOKENS):
@@ -232,7 +233,9 @@ def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
     return found.mapInArrow(look_up, "position bigint, token_id bigint")
 
 
-def encoded_documents(docs: DataFrame, tokenizer: str, partitions: int | None = None) -> DataFrame:
+def encoded_documents(
+    docs: DataFrame, tokenizer: str, partitions: int | None = None, special: bool = False
+) -> DataFrame:
     """Write ``docs`` to a store in the shared folder and return its documents as read back.
 
     One row per row of ``docs``; other columns are not read; an empty table gives no rows.
@@ -240,5 +243,5 @@ def encoded_documents(docs: DataFrame, tokenizer: str, partitions: int | None =
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_folder(spark)}/emberday/token-store-{spark.sql('select uuid()').first()[0]}"
-    write_store(docs, tokenizer, path, partitions)
+    write_store(docs, tokenizer, path, partitions, special)
     return read_documents(spark.read.parquet(path))

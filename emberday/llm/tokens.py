@@ -35,14 +35,18 @@ def _uneven(text: str) -> bool:
 
 
 class Encoder:
-    """``encode`` gives the ids ``tokenizers`` gives for every text, special strings as plain text."""
+    """``encode`` gives the ids ``tokenizers`` gives for every text.
 
-    def __init__(self, path: str):
+    With ``special`` the file's added tokens are found in texts, as the library does by itself;
+    else they are plain text. They hold no space, so words still are encoded alone.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not special
         size = self._tokenizer.get_vocab_size()
         self._opens = np.array([(self._tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self._clear()
@@ -190,6 +194,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One encoder per worker process, file and reading of special strings."""
+    return Encoder(path, special)
