@@ -36,9 +36,6 @@ from emberday.plans.training import (
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-# Boosted fits are short here: the default 500 rounds take hours on one machine.
-_SHORT = {"rounds": 5, "depth": 3, "rate": 0.2}
-
 
 def query(name: str):
     def register(fn):
@@ -72,7 +69,7 @@ def lr_fit_score(spark, sf_dir):
 @query("gbt_fit_score")
 def gbt_fit_score(spark, sf_dir):
     _, scored, _ = holdout_predictions(
-        _wide(spark, sf_dir), "boosted", "gbt", validation_days=240, **_SHORT
+        _wide(spark, sf_dir), "boosted", "gbt", validation_days=240
     )
     return rounded(scored)
 
@@ -99,7 +96,7 @@ def legacy_boosted(spark, sf_dir):
     features = FeatureSet(DAILY_FEATURES)
     rows = complete_rows(_daily(spark, sf_dir), [*features.all, "fire_label"])
     _, scored, _ = holdout_predictions(
-        rows, "boosted", "legacy", features, balanced=True, **_SHORT
+        rows, "boosted", "legacy", features, balanced=True
     )
     return rounded(classification_metrics(scored, ["model_name"]))
 
