@@ -20,8 +20,11 @@ from emberday.session import written
 # Up to so many rules are tested inside the scan; more are joined by host.
 INLINE_RULES = 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_REL = r"""(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?=[\s"])|'(?:[^'>]*\s)?canonical(?=[\s'])|canonical(?=[\s/>]))"""
+_CANONICAL = rf"""(?is)<link\b(?=[^>]*?{_REL})[^>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
+_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 
 
 def _after_scheme(url: Column) -> Column:
@@ -41,27 +44,69 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """Name of a page: host, path and query. Scheme and fragment make no other page."""
-    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path_of(url), query))
+    """Name of a page: host, path without dot segments, and query. Scheme and fragment make no other page."""
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), _dotless(path_of(url)), _query_of(url)))
+
+
+def _query_of(url: Column) -> Column:
+    return F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+
+
+def _dotless(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments resolved; above the root there is nothing."""
+    kept = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.array_append(done, part)),
+    )
+    closed = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.array_join(kept, "/"), closed)).otherwise(path)
+
+
+def _unescaped(text: Column) -> Column:
+    """``text`` with numeric character references and the five named ones of XML read once."""
+
+    def read(part: Column) -> Column:
+        name = F.regexp_extract(part, _ENTITY, 1)
+        hexed = F.conv(F.regexp_extract(name, r"^#[xX](.+)", 1), 16, 10)
+        number = F.coalesce(F.regexp_extract(name, r"^#([0-9]+)", 1).try_cast("long"), hexed.try_cast("long"))
+        number = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), number)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        for known, plain in _NAMED.items():
+            char = F.when(name == known, plain).otherwise(char)
+        return F.coalesce(F.concat(char, F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    tails = F.transform(F.slice(parts, 2, F.size(parts)), read)
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(tails, ""))).otherwise(text)
 
 
 def _absolute(links: DataFrame) -> DataFrame:
-    """``(u, v)`` of rows (u, href); relative links start at the page's scheme, host or folder."""
+    """``(u, v)`` of rows (u, href), resolved against the page's url as browsers do.
+
+    A link with a scheme stands alone, ``//`` keeps the page's scheme, ``/`` its host, ``?`` its
+    path, ``#`` is the page itself and all else starts at its folder; dot segments are resolved.
+    """
     parts = links.where(F.instr("u", "://") > 0).select(
-        "u", "href", F.substring_index("u", "://", 1).alias("scheme"), host_of(F.col("u")).alias("host"),
-        path_of(F.col("u")).alias("path"),
+        "u", _unescaped(F.col("href")).alias("href"), F.substring_index("u", "://", 1).alias("scheme"),
+        host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"),
     )
     root = F.concat("scheme", F.lit("://"), "host")
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^.*/", 0)).otherwise("/")
     href = F.col("href")
     full = (
-        F.when(F.instr(href, "://") > 0, href)
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat("scheme", F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(root, "path", href))
+        .when(href.startswith("#"), F.col("u"))
         .otherwise(F.concat(root, folder, href))
     )
-    return parts.select("u", full.alias("v"))
+    v = F.col("full")
+    plain = F.concat(F.substring_index(v, "://", 1), F.lit("://"), host_of(v), _dotless(path_of(v)), _query_of(v))
+    return parts.select("u", full.alias("full")).select("u", F.when(F.instr(v, "://") > 0, plain).otherwise(v).alias("v"))
 
 
 def with_rule(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
