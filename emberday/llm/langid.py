@@ -28,7 +28,6 @@ from emberday.session import written
 
 DOCS_PER_LANGUAGE = 400
 ROUNDS = 3
-MAX_PIECE = 8
 # (1e-7) ** 41 still is a normal double, so words need no scaling
 MAX_WORD = 40
 _FLOOR = 1e-7
@@ -39,12 +38,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
 def vocabulary(path: str) -> list[str]:
-    """Letter pieces of a sentencepiece model, lower-cased, with or without the word mark."""
+    """All letter pieces of a sentencepiece model, lower-cased, with or without the word mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= MAX_PIECE and _LETTERS.fullmatch(p.removeprefix(_MARK) or "a"))
+    return sorted(p for p in pieces if _LETTERS.fullmatch(p.removeprefix(_MARK) or "a"))
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -71,6 +70,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self._longest = max(map(len, pieces), default=1)
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         self._order = np.argsort(hashes)
         self._sorted = hashes[self._order]
@@ -88,7 +88,7 @@ class Pieces:
     def lattice(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each piece length k the piece number ending at each position, -1 for none."""
         out, run = [], np.zeros_like(codes)
-        for k in range(min(MAX_PIECE, codes.shape[1])):
+        for k in range(min(self._longest, codes.shape[1])):
             # hash of the k + 1 characters ending at each position
             step = np.zeros_like(codes)
             step[:, k:] = run[:, k - 1 : -1] if k else 0
