@@ -2,30 +2,28 @@
 
 A byte-level BPE never merges across a single space between two non-space characters: the
 space opens the next word. Texts are cut there, each distinct word is encoded once per
-worker by the tokenizers library, and the ids of a text are the ids of its words. Words are
-known by 64-bit hashes, so looking them up is a sorted search over arrays.
+worker by the tokenizers library, and the ids of a text are the ids of its words.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-from emberday.llm import shingles as S
-
-MAX_KNOWN = 1_500_000
-_ONLY_SPACE = np.arange(256) == 32
-# A space beside other white space may belong to a longer run: such texts are encoded whole.
+MAX_KNOWN = 1_200_000
+# Letters below this sign are letters in every version of Unicode the libraries may follow.
+_SURE_LETTERS = "\u0250"
+# A space beside other white space may belong to a longer run: no cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r" \s|\s |^ | $")
 _RARE_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-_FIRST = np.uint64(0x5DEECE66D1234567)
-_TAIL = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _uneven(text: str) -> bool:
@@ -34,6 +32,73 @@ def _uneven(text: str) -> bool:
     return any(c in text for c in _RARE_SPACE) and _RUN.search(text) is not None
 
 
+# Put in front of a text's first word, which has no space before it; no other word holds a
+# single space between other characters.
+_OPENING = "x y"
+
+
+def _marked(text: str | None) -> list[str]:
+    if not text:
+        return []
+    words = words_of(text)
+    words[0] = _OPENING + words[0]
+    return words
+
+
+def _spelled(word: str) -> str:
+    return word.removeprefix(_OPENING) if word.startswith(_OPENING) else " " + word
+
+
+def words_of(text: str) -> list[str]:
+    """What lies between the single spaces of a text that have no white space beside them."""
+    return _CUT.split(text) if _uneven(text) else text.split(" ")
+
+
+class Codes(dict):
+    """Numbers of words in the order they were first met."""
+
+    def __init__(self):
+        super().__init__()
+        self._fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self._fresh.append(word)
+        return code
+
+    def take(self) -> list[str]:
+        """Words met since the last call, in the order of their numbers."""
+        fresh, self._fresh = self._fresh, []
+        return fresh
+
+
+def _is_plain_byte_level(tokenizer) -> bool:
+    spec = json.loads(tokenizer.to_str())
+    cut = spec["pre_tokenizer"] or {}
+    options = (cut.get("add_prefix_space"), cut.get("use_regex", True))
+    return not spec["normalizer"] and cut.get("type") == "ByteLevel" and options == (False, True)
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(_byte_letters()))
+
+
+def byte_values(path: str) -> list[bytes]:
+    """The bytes each id of a byte-level vocabulary stands for."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    back = {letter: b for b, letter in _LETTERS.items()}
+    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+    return [bytes(back[c] for c in n) if all(c in back for c in n) else n.encode() for n in names]
+
+
 class Encoder:
     """``encode`` gives the ids ``tokenizers`` gives for every text.
 
@@ -47,150 +112,104 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not special
-        size = self._tokenizer.get_vocab_size()
-        self._opens = np.array([(self._tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        # letters are one pre-token of a byte-level BPE; the model then needs no pattern search
+        self._model = self._tokenizer.model if _is_plain_byte_level(self._tokenizer) else None
         self._clear()
 
+    @property
+    def plain(self) -> bool:
+        """Whether ids only depend on the words cut by ``words_of``, and spell them byte by byte."""
+        return self._model is not None
+
     def _clear(self) -> None:
-        self._hashes = np.empty(0, np.uint64)
+        self._codes = Codes()
+        self._tails: dict[str, list[int]] = {}
         self._start = np.empty(0, np.int64)
         self._length = np.empty(0, np.int64)
         self._ids = np.empty(0, np.uint32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text; null is empty."""
-        if len(self._hashes) > MAX_KNOWN:
-            self._clear()
-        uneven = [i for i, t in enumerate(texts) if t and _uneven(t)]
-        if not uneven:
-            return self._encode_even(texts)
-        even = list(texts)
-        for i in uneven:
-            even[i] = None
-        ids, counts = self._encode_even(even)
-        parts = np.split(ids, np.cumsum(counts)[:-1])
-        for i, found in zip(uneven, self._whole([texts[i] for i in uneven])):
-            parts[i] = found
-        return np.concatenate(parts), np.array([len(p) for p in parts])
+        code, cuts = self._look_up([_marked(t) for t in texts])
+        ids, ends = self._gather(code)
+        return ids, np.diff(np.concatenate([[0], ends])[cuts])
+
+    def encode_spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for words cut by ``words_of``, each with a space put in front."""
+        code, _ = self._look_up([words])
+        return self._gather(code)[0], self._length[code]
 
     def word_counts(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Per text: characters and number of ids of each of its words, spaces in front included.
 
-        Words are what lies between single spaces that have no white space beside them; the
-        ids of a text are those of its words in order.
+        Words are those of ``words_of``; the ids of a text are those of its words in order.
         """
-        if len(self._hashes) > MAX_KNOWN:
-            self._clear()
-        even = [None if t and _uneven(t) else t for t in texts]
-        code, cuts = self._codes(even)
+        words = [_marked(t) for t in texts]
+        code, cuts = self._look_up(words)
         counts = self._length[code]
-        for text, plain, a, b in zip(texts, even, cuts, cuts[1:]):
-            if plain is None and text:
-                words = _CUT.split(text)
-                spelled = [words[0], *(f" {w}" for w in words[1:])]
-                yield list(map(len, spelled)), np.array([len(i) for i in self._whole(spelled)])
-            else:
-                sizes = [len(w) + 1 for w in text.split(" ")] if text else []
-                if sizes:
-                    sizes[0] -= 1
-                yield sizes, counts[a:b]
+        for parts, a, b in zip(words, cuts, cuts[1:]):
+            sizes = [len(w) + 1 for w in parts]
+            if sizes:
+                sizes[0] -= len(_OPENING) + 1
+            yield sizes, counts[a:b]
 
-    def _encode_even(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        code, cuts = self._codes(texts)
-        ids, ends = self._gather(code)
-        return ids, np.diff(np.concatenate([[0], ends])[cuts])
-
-    def _codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of all words, and where each text's words begin; unknown words are learned."""
-        buffer, begins = S.joined(texts, b" ")
-        starts, hashes = S.words(buffer, _ONLY_SPACE, fold=False)
-        cuts = np.searchsorted(starts, begins)
-        first = cuts[:-1][np.diff(cuts) > 0]
-        hashes[first] ^= _FIRST  # a text's first word has no space in front
-        code = self._find(hashes)
-        missing = np.flatnonzero(code < 0)
-        if len(missing):
-            new, at = np.unique(hashes[missing], return_index=True)
-            at = missing[at]
-            ends = np.append(starts[1:], len(buffer)) - 1
-            spaced = np.ones(len(hashes), bool)
-            spaced[first] = False
-            raw = buffer.tobytes()
-            words = [raw[a:b].rstrip(b" ").decode("utf-8", "surrogatepass") for a, b in zip(starts[at], ends[at])]
-            self._learn(words, spaced[at], new)
-            code = self._find(hashes)
+        if len(self._codes) > MAX_KNOWN:
+            self._clear()
+        cuts = np.cumsum([0, *map(len, words)])
+        code = np.fromiter(map(self._codes.__getitem__, chain.from_iterable(words)), np.int64, cuts[-1])
+        self._learn(self._codes.take())
         return code, cuts
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self._hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
-        return np.where(self._hashes[at] == hashes, at, -1)
-
     def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self._length[code]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         return self._ids[np.repeat(self._start[code] - (ends - lengths), lengths) + np.arange(total)], ends
 
-    def _learn(self, words: list[str], spaced: np.ndarray, hashes: np.ndarray) -> None:
-        """Encode unknown words; letters with ASCII punctuation behind them are two pieces."""
-        cores, tails = [], []
-        for w, s in zip(words, spaced.tolist()):
-            core = w.rstrip(string.punctuation)
-            if not (s and len(core) < len(w) and core.isalpha()):
-                core = w
-            cores.append((core, s))
-            tails.append(w[len(core) :])
-        pieces = {c: k for k, c in enumerate(dict.fromkeys([*cores, *((t, False) for t in tails if t)]))}
-        ids, starts, lengths = self._pieces(list(pieces))
-        core = np.array([pieces[c] for c in cores])
-        tail = np.array([pieces[t, False] if t else -1 for t in tails])
-        tail_length = np.where(tail >= 0, lengths[tail], 0)
-        size = np.stack([lengths[core], tail_length], axis=1).ravel()
-        begin = np.stack([starts[core], np.where(tail >= 0, starts[tail], 0)], axis=1).ravel()
-        ends = np.cumsum(size)
-        joined = ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
-        length = lengths[core] + tail_length
-        order = np.argsort(np.concatenate([self._hashes, hashes]), kind="stable")
-        self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(length) - length])[order]
-        self._length = np.concatenate([self._length, length])[order]
-        self._hashes = np.concatenate([self._hashes, hashes])[order]
-        self._ids = np.concatenate([self._ids, joined])
-
-    def _pieces(self, pieces: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids one piece after the other, where each piece starts, and its length.
-
-        Pieces after a space and free of white space are encoded many in one string.
-        """
-        order, ids, lengths = [], [], []
-        rest = [k for k, (w, s) in enumerate(pieces) if not s or len(w.split()) != 1]
-        apart = set(rest)
-        plain = [k for k in range(len(pieces)) if k not in apart]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            got = self._whole([" " + " ".join([pieces[k][0] for k in part])])[0]
-            opens = np.flatnonzero(self._opens[got])
-            if len(opens) == len(part):
-                order += part
-                ids.append(got)
-                lengths.append(np.diff(opens, append=len(got)))
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words, those of letters, with or without ASCII punctuation behind them, by the model."""
+        if not words:
+            return
+        plain = self._model is not None
+        by_model, rest = [], []
+        ids: list[int] = []
+        length = np.zeros(len(words), np.int64)
+        for k, word in enumerate(words):
+            core = word.rstrip(string.punctuation)
+            if plain and core.isalpha() and (core.isascii() or max(core) < _SURE_LETTERS):
+                before = len(ids)
+                ids += self._letters(core)
+                if len(core) < len(word):
+                    ids += self._tail(word[len(core) :])
+                length[k] = len(ids) - before
+                by_model.append(k)
             else:
-                rest += part
-        if rest:
-            found = self._whole([(" " if s else "") + w for w, s in (pieces[k] for k in rest)])
-            order += rest
+                rest.append(k)
+        for k, found in zip(rest, self._whole([_spelled(words[k]) for k in rest])):
+            length[k] = len(found)
             ids += found
-            lengths.append(np.array([len(f) for f in found]))
-        length = np.empty(len(pieces), np.int64)
-        length[order] = np.concatenate(lengths)
-        start = np.empty(len(pieces), np.int64)
-        start[order] = np.cumsum(length[order]) - length[order]
-        return np.concatenate(ids), start, length
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+        order = np.array(by_model + rest)
+        start = np.empty(len(words), np.int64)
+        start[order] = len(self._ids) + np.cumsum(length[order]) - length[order]
+        self._start = np.concatenate([self._start, start])
+        self._length = np.concatenate([self._length, length])
+        self._ids = np.concatenate([self._ids, np.array(ids, np.uint32)])
+
+    def _letters(self, core: str) -> list[int]:
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self._model.tokenize("Ġ" + core)]
+
+    def _tail(self, tail: str) -> list[int]:
+        """Punctuation behind letters: a pre-token of its own, or several."""
+        if tail not in self._tails:
+            self._tails[tail] = self._whole([tail])[0]
+        return self._tails[tail]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
