@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberday.llm import ann, decontamination, langid, mixing, ngram_join, quality, token_counts, token_store, toxicity, url_filter
+from emberday.llm import (
+    ann, decontamination, langid, lexical, mixing, ngram_join, pieces, quality, token_counts, token_links, token_store,
+    toxicity, url_filter,
+)
 
 
 def tokenizer_file(name: str) -> str:
@@ -101,6 +104,19 @@ def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_incidence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return token_links.link_digests(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_digests(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_ngram_join": op2_ngram_join,
@@ -112,6 +128,9 @@ QUERIES = {
     "op8_adaptive_dimension_scan": op8_adaptive_dimension_scan,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_bradley_terry_quality": op10_bradley_terry_quality,
+    "op11_incidence_alignment": op11_incidence_alignment,
+    "op12_offset_pieces": op12_offset_pieces,
+    "op13_blocked_search": op13_blocked_search,
 }
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -160,7 +179,36 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+_OP13_SQL = f"""
+WITH worded AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents
+), sized AS (
+  SELECT doc_id, r, t, len(t) AS n FROM worded WHERE len(t) > 0
+), total AS (
+  SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sized
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM sized) GROUP BY 1, 2
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY 1
+), impact AS (
+  SELECT doc_id, r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))) AS v
+  FROM tf JOIN sized USING (r) JOIN weight USING (term), total
+), asked AS (
+  SELECT DISTINCT item_id, i, term FROM (
+    SELECT item_id, row_number() OVER () AS i,
+      unnest(regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+), scored AS (
+  SELECT item_id, i, doc_id, r, CAST(sum(v) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY 1, 2, 3, 4
+), placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op2_ngram_join": _OP2_SQL,
     "op4_url_aliases": _OP4_SQL,
+    "op13_blocked_search": _OP13_SQL,
 }
