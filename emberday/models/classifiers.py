@@ -11,14 +11,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberday.models.boosting import best_round, first_rounds
 from emberday.models.preprocess import (
     balanced_weight,
     linear_stages,
+    ordered_features,
     tree_stages,
     typed_inputs,
 )
 from emberday.operators.features import categorical_names, feature_names
-from emberday.operators.metrics import classification_metrics
 from emberday.operators.sequences import fit_scale, flattened, standardised
 from emberday.operators.splits import LABEL, class_weights, holdout_cutoff
 from emberday.session import release, written
@@ -122,20 +123,24 @@ def fit_boosted(
 ) -> Fit:
     """Gradient-boosted trees; positives weigh negatives/positives, or balanced weights.
 
-    With ``validation_days`` the last days of ``train`` are held back, a full-length fit
-    is scored after every round on them, and the model is refitted on all of ``train``
-    with the number of rounds whose average precision was best.
+    With ``validation_days`` the last days of ``train`` are held back, the fit on the days
+    before is scored after every round on them, and the rounds beyond the one with the best
+    average precision are cut off. Categories in ``TARGET_ENCODED`` are label means; a training
+    row only sees the labels of earlier days there.
     """
     data = typed_inputs(train, features.numeric, features.categorical, fill=True)
+    late = None
+    if validation_days is not None:
+        cutoff = holdout_cutoff(data, validation_days)
+        data, late = data.filter(F.col("date") < cutoff), data.filter(F.col("date") >= cutoff)
     stages, bins = tree_stages(data, features.numeric, features.categorical, label)
-    ready = written(stages.transform(data).select("date", label, "features"), "fit")
+    ready = written(ordered_features(stages, data, features.categorical, label).select(label, "features"), "fit")
+    best = rounds
     try:
-        best = rounds
-        if validation_days is not None:
-            cutoff = holdout_cutoff(ready, validation_days)
-            early = _boost(ready.filter(F.col("date") < cutoff), label, rounds, depth, rate, bins, balanced, seed)
-            best = best_round(early, ready.filter(F.col("date") >= cutoff), label)
-        fitted = _boost(ready, label, best, depth, rate, bins, balanced, seed)
+        fitted = _boost(ready, label, rounds, depth, rate, bins, balanced, seed)
+        if late is not None:
+            best = best_round(fitted, stages.transform(late), label)
+            fitted = first_rounds(fitted, best)
     finally:
         release(ready)
     params = {
@@ -165,38 +170,6 @@ def _boost(ready, label, rounds, depth, rate, bins, balanced, seed) -> GBTClassi
     ).fit(ready.withColumn("weight", weight))
 
 
-def best_round(model: GBTClassificationModel, validation: DataFrame, label: str) -> int:
-    """Number of rounds with the highest average precision on ``validation``.
-
-    Each tree adds one column; the running sums of all rounds are scored together as
-    groups of one metric job.
-    """
-    scored = validation.select(label, "features")
-    names = []
-    for i, tree in enumerate(model.trees):
-        names.append(f"_t{i}")
-        scored = tree.setPredictionCol(names[-1]).transform(scored)
-    parts = F.array(*[F.col(n) * F.lit(float(w)) for n, w in zip(names, model.treeWeights)])
-    nothing = F.array().cast("array<struct<rounds:int,m:double>>")
-    prefixes = F.aggregate(
-        parts,
-        nothing,
-        lambda done, part: F.array_append(
-            done,
-            F.struct(
-                (F.size(done) + 1).alias("rounds"),
-                (F.coalesce(F.try_element_at(done, F.lit(-1)).getField("m"), F.lit(0.0)) + part).alias("m"),
-            ),
-        ),
-    )
-    per_round = scored.select(label, F.inline(prefixes)).select(
-        label, "rounds", (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("m")))).alias("p")
-    )
-    metrics = classification_metrics(per_round, ["rounds"], label=label, score="p")
-    top = metrics.orderBy(F.desc_nulls_last("pr_auc"), "rounds").select("rounds").first()
-    return len(names) if top is None else top.rounds
-
-
 def score(fit: Fit, df: DataFrame, model_name: str, keep: Sequence[str] = ()) -> DataFrame:
     """(model_name, station_id, date, pred_prob) plus ``keep``, one narrow pass."""
     return score_model(fit.model, df, fit.features, model_name, keep, fill=fit.kind == "boosted")

@@ -16,6 +16,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberday.functions.risk import MISSING_CATEGORY, fill_category, finite_or_null
@@ -26,6 +27,8 @@ TREE_MISSING = -1.0e9
 # Categories whose values grow with the network are target-encoded, by name and at any size,
 # so that the same data set gives the same kind of model with ten stations and ten thousand.
 TARGET_ENCODED = ("station_id",)
+# Rows with the overall label mean that every encoded category has beside its own.
+TARGET_SMOOTHING = 1.0
 
 
 def typed_inputs(
@@ -174,7 +177,7 @@ def tree_stages(
             labelCol=label,
             targetType="binary",
             handleInvalid="keep",
-            smoothing=1.0,
+            smoothing=TARGET_SMOOTHING,
         ).fit(prepared)
         stages.append(encoder)
         names += [f"{c}__t" for c in large]
@@ -183,6 +186,34 @@ def tree_stages(
     return PipelineModel(stages), bins
 
 
+def ordered_statistic(df: DataFrame, column: str, label: str, output: str, order: str = "date") -> DataFrame:
+    """``df`` with the smoothed label mean of a category over the days before the row's own.
+
+    The labels are added up per category and day first, so the running sum of a category is a
+    window of at most one row a day. On its first day a category has the overall mean.
+    """
+    prior = df.agg(F.avg(label)).scalar()
+    days = df.groupBy(column, order).agg(F.sum(label).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy(column).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    past = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_sum", "_rows")}
+    mean = (past["_sum"] + F.lit(TARGET_SMOOTHING) * prior) / (past["_rows"] + F.lit(TARGET_SMOOTHING))
+    known = days.select(F.col(column).alias("_category"), F.col(order).alias("_day"), mean.alias(output))
+    same = F.col(column).eqNullSafe(F.col("_category")) & F.col(order).eqNullSafe(F.col("_day"))
+    return df.drop(output).join(known, same).drop("_category", "_day")
+
+
+def ordered_features(stages: PipelineModel, train: DataFrame, categorical: Sequence[str], label: str) -> DataFrame:
+    """Training rows through ``tree_stages``, label means of categories taken from earlier days only.
+
+    An encoder applied to the rows it was fitted on would hand each row its own label.
+    """
+    ready = PipelineModel(stages.stages[:-1]).transform(train)
+    for c in categorical:
+        if c in TARGET_ENCODED:
+            ready = ordered_statistic(ready, f"{c}__c", label, f"{c}__t")
+    return stages.stages[-1].transform(ready)
+
+
 def balanced_weight(label: Column, rows: int, positive: int) -> Column:
     """n / (2 * rows of the class)."""
     return F.when(label == 1, F.lit(rows / (2 * positive))).otherwise(
