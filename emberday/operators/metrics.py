@@ -52,9 +52,7 @@ def score_counts(
 
 def cumulative_counts(counts: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
     """Counts of rows scoring at least ``score`` (``cum_*``) and group totals (``all_*``)."""
-    return running_totals(
-        counts, keys, "score", ["pos", "neg", *more], unit=F.col("score"), descending=True
-    )
+    return running_totals(counts, keys, "score", ["pos", "neg", *more], descending=True)
 
 
 def ratio_or_zero(part: Column, whole: Column) -> Column:
@@ -313,7 +311,7 @@ def thinned_grid(grid: DataFrame, keys: Sequence[str], max_points: int) -> DataF
     """
     ranked = running_totals(
         grid.withColumn("one", F.lit(1).cast("long")),
-        keys, "threshold", ["one"], unit=F.col("threshold"),
+        keys, "threshold", ["one"],
     ).select(
         *keys, "threshold", (F.col("cum_one") - 1).alias("rank"), F.col("all_one").alias("n")
     )

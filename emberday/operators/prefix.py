@@ -2,15 +2,16 @@
 
 A plain ``sum().over(partitionBy(keys).orderBy(value))`` sorts every row of a key in
 one task, and one key (one model, or no key at all) may hold most of the data. Here
-each key is cut into ordered cells, a fixed monotone function of the value. Only the
-per-cell totals, at most ``MAX_CELLS`` rows per key, are summed per key; the running
-sum inside a cell is a window of its own. All totals are integers, so a recomputed
-task gives the same answer as the lost one.
+each key is cut into ordered cells whose bounds are approximate quantiles of the key's own
+distinct values, from a mergeable summary: cells hold about the same number of values
+however these crowd, and outliers or a missing stamp move no bound. Only the per-cell
+totals, at most ``CELLS`` rows per key, are summed per key; the running sum inside a cell
+is a window of its own. All totals are integers, so a recomputed task gives the same
+answer as the lost one.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,44 +20,55 @@ from pyspark.sql import functions as F
 
 from emberday.session import written
 
-_STEPS = 32767
-_ZOOM = float(2**30)
-MAX_CELLS = 3 * _STEPS + 1
+# A power of two: a value finds its cell in log2(CELLS) steps.
+CELLS = 512
+# Ranks of the bounds are off by at most one in so many values, a fortieth of a cell.
+_SUMMARY = 40 * CELLS
 
 
-def order_cell(unit: Column) -> Column:
-    """Monotone cell number of a value scaled to 0..1.
+def splitters(value: Column) -> Column:
+    """Aggregate: the ``CELLS - 1`` inner bounds of a numeric column's distinct values."""
+    shares = F.array(*[F.lit(k / CELLS) for k in range(1, CELLS)])
+    return F.percentile_approx(value.cast("double"), shares, F.lit(_SUMMARY))
 
-    The sum of three non-decreasing step functions: even steps, steps that get finer
-    towards 0 and steps that get finer towards 1, since scores crowd at both ends.
+
+def cell_of(value: Column, bounds: Column) -> Column:
+    """Number of bounds not above a value, by halving; null values are in the first cell."""
+    steps = [1 << k for k in reversed(range(CELLS.bit_length() - 1))]
+    number = value.cast("double")
+    found = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: at + F.when(F.get(bounds, at + step - 1) <= number, step).otherwise(F.lit(0)),
+    )
+    return F.coalesce(found, F.lit(0))
+
+
+def _celled(df: DataFrame, keys: Sequence[str], value: str, total: str) -> DataFrame:
+    """``df``, one row per (keys, value), with the cell of each value within its key.
+
+    Taking a total along keeps the summary on top of ``df``'s own aggregate, not of raw rows.
     """
-    u = F.coalesce(F.greatest(F.least(unit, F.lit(1.0)), F.lit(0.0)), F.lit(0.0))
-    log_range = F.lit(math.log1p(_ZOOM))
-    near_zero = F.log1p(u * _ZOOM) / log_range
-    near_one = F.lit(1.0) - F.log1p((F.lit(1.0) - u) * _ZOOM) / log_range
-    steps = [F.floor(part * F.lit(float(_STEPS))) for part in (u, near_zero, near_one)]
-    return F.coalesce((steps[0] + steps[1] + steps[2]).cast("int"), F.lit(0))
+    found = df.groupBy(*keys).agg(splitters(F.col(value)).alias("_bounds"), F.sum(total).alias("_some"))
+    if keys:
+        bounded = df.join(found.filter(F.col("_some").isNotNull()).drop("_some"), list(keys))
+    else:
+        one = found.select(F.when(F.col("_some").isNotNull(), F.col("_bounds"))).scalar()
+        bounded = df.withColumn("_bounds", one)
+    return bounded.withColumn("_cell", cell_of(F.col(value), F.col("_bounds"))).drop("_bounds")
 
 
 def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str | Sequence[str],
-    sums: Sequence[str],
-    unit: Column,
-    descending: bool = False,
+    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], descending: bool = False
 ) -> DataFrame:
     """Add inclusive running sums ``cum_*`` and key totals ``all_*`` of integer columns.
 
-    ``df`` holds one row per (keys, value), keys not null; ``unit`` is a non-decreasing
-    function of ``value`` scaled to 0..1. ``value`` may be several columns, the unit then
-    follows the first. The window inside the cells and the join of
-    the offsets share one partitioning and order, so rows are exchanged once.
+    ``df`` holds one row per (keys, value), neither null; ``value`` is numeric. The window
+    inside the cells and the join of the offsets share one partitioning and order, so rows
+    are exchanged once.
     """
     direction = F.desc if descending else F.asc
-    order = [value] if isinstance(value, str) else list(value)
-    celled = df.withColumn("_cell", order_cell(unit))
-
+    celled = _celled(df, keys, value, sums[0])
     cells = celled.groupBy(*keys, "_cell").agg(*[F.sum(s).alias(s) for s in sums])
     per_key = W.partitionBy(*keys)
     earlier = per_key.orderBy(direction("_cell")).rowsBetween(W.unboundedPreceding, -1)
@@ -69,7 +81,7 @@ def running_totals(
 
     inside = (
         W.partitionBy(*keys, "_cell")
-        .orderBy(*[direction(v) for v in order])
+        .orderBy(direction(value))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = celled.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums])
@@ -89,21 +101,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     for key in keys:
         known = known & F.col(key).isNotNull()
     counts = df.filter(known).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    number = F.col(value).cast("double")
-    # Taking the row total along keeps this on top of the counts, not of the raw rows.
-    spans = counts.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"),
-        F.max(value).cast("double").alias("_hi"),
-        F.sum("n").alias("_rows"),
-    )
-    if keys:
-        counts = counts.join(spans.filter(F.col("_rows") > 0).drop("_rows"), list(keys))
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        span = spans.select(F.when(F.col("_rows") > 0, F.struct("_lo", "_hi"))).scalar()
-        lo, hi = span.getField("_lo"), span.getField("_hi")
-    unit = F.try_divide(number - lo, hi - lo)
-    return running_totals(counts, keys, value, ["n"], unit).drop("_lo", "_hi")
+    return running_totals(counts, keys, value, ["n"])
 
 
 def exact_quantiles(
@@ -141,11 +139,12 @@ def sequential_ids(
 ) -> DataFrame:
     """0-based row numbers in (timestamp, tie_order) order; rows without a timestamp last.
 
-    The first of ``tie_order`` is numeric. Equal rows are counted per input partition, so
-    neither one crowded moment nor one row copied many times is numbered in one task: the
-    counts are added up over moments, then over ties inside a moment, and only rows that
-    tie inside one input partition are numbered one by one. The input is written out
-    first, since the row positions it is numbered by must not change on a retry.
+    Equal rows are counted per input partition first, so one row copied many times is not
+    numbered in one task. These counts are dealt to tasks by ranges of the whole order, whose
+    bounds Spark samples from them: neither one crowded moment nor one tie at it makes a long
+    task. The counts of the ranges are added up, then those inside a range, and only equal
+    rows of one input partition are numbered one by one. Input and ranges are written out,
+    since the positions rows are numbered by must not change on a retry.
     """
     stamp = F.col(timestamp)
     # Wall-clock microseconds: no zone takes part, so they follow the order of the stamps.
@@ -159,27 +158,30 @@ def sequential_ids(
             "_part": F.shiftright("_row", 33),
         }
     )
-    ties = placed.groupBy("_moment", "_tie", "_part").agg(F.count(F.lit(1)).alias("n"))
-    span = placed.agg(
-        F.struct(
-            F.min(tie_order[0]).cast("double").alias("lo"),
-            F.max(tie_order[0]).cast("double").alias("hi"),
-        )
-    ).scalar()
-    unit = F.try_divide(
-        F.col("_tie")[tie_order[0]].cast("double") - span["lo"], span["hi"] - span["lo"]
-    )
-    within = running_totals(ties, ["_moment"], ["_tie", "_part"], ["n"], unit).select(
-        "_moment", "_tie", "_part", (F.col("cum_n") - F.col("n")).alias("_inside")
-    )
-    before = value_ranks(placed, [], "_moment").select(
-        "_moment", (F.col("cum_n") - F.col("n")).alias("_ahead")
+    order = ["_moment", "_tie", "_part"]
+    groups = placed.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = written(ordered_ranges(groups, order), "ranges")
+    totals = ranges.groupBy("_range").agg(F.sum("_n").alias("_total"))
+    # one row for each range
+    before = totals.select("_range", (F.sum("_total").over(W.orderBy("_range")) - F.col("_total")).alias("_ahead"))
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = (
+        ranges.withColumn("_inside", F.sum("_n").over(inside) - F.col("_n"))
+        .join(before, "_range")
+        .select(*order, (F.col("_ahead") + F.col("_inside")).alias("_first"))
     )
-    alike = W.partitionBy("_moment", "_tie", "_part").orderBy("_row")
+    alike = W.partitionBy(*order).orderBy("_row")
     return (
         placed.withColumn("_place", F.row_number().over(alike))
-        .join(within, ["_moment", "_tie", "_part"])
-        .join(before, "_moment")
-        .withColumn(id_col, F.col("_ahead") + F.col("_inside") + F.col("_place") - 1)
+        .join(first, order)
+        .withColumn(id_col, F.col("_first") + F.col("_place") - 1)
         .select(*df.columns, id_col)
     )
+
+
+def ordered_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` dealt to tasks by ranges of ``order``, with ``_range``, the number of each row's range.
+
+    Numbers follow the order, but only hold for this plan's one execution: write the result.
+    """
+    return df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())

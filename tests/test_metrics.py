@@ -166,7 +166,7 @@ def test_running_totals_over_crowded_cells(spark, descending):
     values = {("big", 1e-9 * i) for i in range(400)} | {("big", 0.5 + 1e-9 * i) for i in range(400)} | {("small", 0.3)}
     data = [(k, v, rng.randrange(5)) for k, v in values]
     df = spark.createDataFrame(data, "k string, v double, n long")
-    out = running_totals(df, ["k"], "v", ["n"], F.col("v"), descending).collect()
+    out = running_totals(df, ["k"], "v", ["n"], descending).collect()
     for r in out:
         within = [n for k, v, n in data if k == r.k and (v >= r.v if descending else v <= r.v)]
         assert r.cum_n == sum(within)
