@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberday.llm.components import components
-from emberday.session import written
+from emberday.session import release, written
 
 # Up to so many rules are tested inside the scan; more are joined by host.
 INLINE_RULES = 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_REL = r"""(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?=[\s"])|'(?:[^'>]*\s)?canonical(?=[\s'])|canonical(?=[\s/>]))"""
-_CANONICAL = rf"""(?is)<link\b(?=[^>]*?{_REL})[^>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
+# Every pattern below takes what it can without giving back, so that hostile pages cost linear time.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|xmp)\b[^>]*+(?:>|\z).*?(?:</\1\b|\z)"
+_HINT = r"(?i)canonical|refresh"
+_TAG = r"(?i)^(?:link|meta)[\s/]"
+_ATTRIBUTE = r"""([^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))?|>)"""
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 
@@ -90,7 +92,7 @@ def _absolute(links: DataFrame) -> DataFrame:
     path, ``#`` is the page itself and all else starts at its folder; dot segments are resolved.
     """
     parts = links.where(F.instr("u", "://") > 0).select(
-        "u", _unescaped(F.col("href")).alias("href"), F.substring_index("u", "://", 1).alias("scheme"),
+        "u", "href", F.substring_index("u", "://", 1).alias("scheme"),
         host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"),
     )
     root = F.concat("scheme", F.lit("://"), "host")
@@ -153,19 +155,51 @@ def _preference(rule: tuple[str, str, str]) -> tuple:
     return (-len(host + path), -len(host), host + path, action)
 
 
+def _value(attributes: Column, name: str) -> Column:
+    """Value of the first attribute of a name, quotes off and references read; null without one."""
+    own = F.get(F.filter(attributes, lambda a: a.rlike(rf"(?i)^{name}\s*=")), 0)
+    raw = F.regexp_replace(own, r"(?s)^[^=]*+=\s*+", "")
+    quoted = raw.rlike(r"""(?s)^(?:".*"|'.*')$""")
+    return _unescaped(F.when(quoted, F.substring(raw, 2, F.length(raw) - 2)).otherwise(raw))
+
+
+def _refresh_target(content: Column) -> Column:
+    """The url of a refresh: up to its closing quote if it opens with one."""
+    after = F.regexp_extract(content, r"(?is)^[^;,]*+[;,]\s*+url\s*+=\s*+(.*)$", 1)
+    inside = F.regexp_extract(after, r"""(?s)^(["'])(.*?)(?:\1|$)""", 2)
+    return F.when(after.rlike(r"""^["']"""), inside).otherwise(after)
+
+
+def _named_by(tag: Column) -> Column:
+    """What one ``link`` or ``meta`` tag names as the page's place; null if nothing."""
+    found = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1))
+    end = F.array_position(found, ">")
+    attributes = F.when(end > 0, F.slice(found, 1, F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(found)
+    canonical = tag.rlike("(?i)^link") & _value(attributes, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+    refresh = tag.rlike("(?i)^meta") & _value(attributes, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+    return F.trim(
+        F.when(canonical, _value(attributes, "href")).when(refresh, _refresh_target(_value(attributes, "content")))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(u, v)`` urls of pages and of what their canonical links and refresh redirects name."""
-    found = pages.select(
-        F.col("url").alias("u"),
-        F.explode(
-            F.array(
-                F.regexp_extract("html", _CANONICAL, 1),
-                F.regexp_extract("html", _REFRESH, 1),
-            )
-        ).alias("href"),
-    )
+    """``(u, v)`` urls of pages and of all that their canonical links and refresh redirects name.
+
+    Comments, scripts, styles and other raw text hold no tags. The rest is cut at every ``<``,
+    so a tag is looked at once, up to its first ``>`` outside quotes; an unclosed tag ends at
+    the next ``<``, as does a value with a ``<`` in it.
+    """
+    tags = F.filter(F.split(F.regexp_replace("html", _HIDDEN, " "), "<"), lambda t: t.rlike(_TAG))
+    found = (
+        pages.where(F.col("html").rlike(_HINT))
+        .select(F.col("url").alias("u"), F.explode(tags).alias("tag"))
+        .select("u", _named_by(F.col("tag")).alias("href"))
+    )
     # most pages have no link: the few found are written, so that the html is read once
-    return written(_absolute(written(found.where("href <> ''"), "url-hrefs")), "url-named")
+    hrefs = written(found.where("href <> ''"), "url-hrefs")
+    named = written(_absolute(hrefs), "url-named")
+    release(hrefs)
+    return named
 
 
 def verdicts(
