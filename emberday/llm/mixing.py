@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberday.llm.names import free_names
 from emberday.session import written
 
 CELL_DIGITS = 3
@@ -177,18 +178,19 @@ def mixed(docs: DataFrame, levels: list[Level], share: float, max_epochs: int, s
     rows = written(_tree_rows(docs, levels), "mixing-rows")
     leaf_plan = plan(rows, levels, share, max_epochs, seed)
     names = [level.name for level in levels]
-    inner = {name: f"_mix_{k}_{name}" for k, name in enumerate(names)}
+    own = free_names(docs, *[f"level_{k}" for k in range(len(names))], "plan", "times", "copy")
+    inner, (held, uses, copy) = dict(zip(names, own)), own[len(names) :]
     side = leaf_plan.select(
         *[F.col(name).alias(inner[name]) for name in names],
-        F.struct("epochs", "cut", "cut_left", "cut_tokens").alias("_mix_plan"),
+        F.struct("epochs", "cut", "cut_left", "cut_tokens").alias(held),
     )
     match = F.lit(True)
     for level in levels:
         match = match & (F.coalesce(level.node.cast("string"), F.lit(_NONE)) == F.col(inner[level.name]))
     joined = docs.join(side, match)
-    of = {c: F.col(f"_mix_plan.{c}") for c in ("epochs", "cut")}
+    of = {c: F.col(held)[c] for c in ("epochs", "cut")}
     last = _order_key(seed, of["epochs"]) <= of["cut"]
     times = of["epochs"] + F.when(F.coalesce(last, F.lit(False)), 1).otherwise(0)
-    used = joined.where(word_count(F.col("text")) > 0).withColumn("_mix_times", times).where("_mix_times > 0")
-    copies = used.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_times"))))
+    used = joined.where(word_count(F.col("text")) > 0).withColumn(uses, times).where(F.col(uses) > 0)
+    copies = used.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(uses))))
     return copies.select(*[docs[c] for c in docs.columns])

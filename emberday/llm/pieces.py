@@ -13,6 +13,8 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -70,22 +72,30 @@ class Vocabulary:
             symbols[c] = len(self.texts) + len(symbols) - len(ids)
         self.symbols = symbols
         rank_of = {s: k for k, s in enumerate(sorted({scores[i] for i in ids.values()}, reverse=True))}
-        pairs = {}
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for text, i in ids.items():
             for k in range(1, len(text)):
                 one, other = symbols.get(text[:k]), symbols.get(text[k:])
                 if one is not None and other is not None:
                     pairs[one, other] = (rank_of[scores[i]], i)
-        self.pairs = pairs
         self.base = len(self.texts) + len(symbols) - len(ids) + 1
         keys = np.array([a * self.base + b for a, b in pairs], np.int64).reshape(-1)
         values = np.array(list(pairs.values()), np.int64).reshape(-1, 2)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks, self.pair_ids = keys[order], values[order, 0], values[order, 1]
+        self._sorted_keys = array("q", self.pair_keys.tolist())  # quick to search one by one
         single = sorted((ord(t), s) for t, s in symbols.items() if len(t) == 1)
         self.characters = np.array([c for c, _ in single], np.int64)
         self.character_symbols = np.array([s for _, s in single], np.int64)
 
+    def pair(self, left: int, right: int) -> tuple[int, int] | None:
+        """Rank and piece of the merge of two symbols."""
+        key = left * self.base + right
+        at = bisect_left(self._sorted_keys, key)
+        if at < len(self._sorted_keys) and self._sorted_keys[at] == key:
+            return int(self.pair_ranks[at]), int(self.pair_ids[at])
+        return None
+
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of the merge of each pair of symbols (``_NEVER`` if there is none) and the piece it makes."""
         if not len(self.pair_keys):
@@ -152,14 +162,13 @@ def _merged_together(vocabulary: Vocabulary, symbols: np.ndarray, word: np.ndarr
 
 def _merged_alone(vocabulary: Vocabulary, symbols: list[int]) -> list[int]:
     """Symbols left of one long word: pairs wait in a heap, stale ones are passed over."""
-    pairs = vocabulary.pairs
     after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
     waiting: list[tuple[int, int, int, int, int]] = []
 
     def offer(left: int) -> None:
         right = after[left]
         if right < len(symbols):
-            found = pairs.get((symbols[left], symbols[right]))
+            found = vocabulary.pair(symbols[left], symbols[right])
             if found:
                 heapq.heappush(waiting, (found[0], left, symbols[left], symbols[right], found[1]))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # A block of rows of a product expands into about so many terms at a time.
-TERMS = 4 << 20
+TERMS = 1 << 18
 
 
 class Csr:

@@ -151,7 +151,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, special: bool = False) -> Dat
     ``docs`` has ``doc_id``, ``text`` and ``edits``, an array of (start, stop, insert) applied
     one after the other in character positions of the text as it then stands. Positions beyond
     the text are cut to it, a stop before its start inserts only, a null position is 0 and a
-    null insert empty. Null texts count as empty, null edit lists as none. ``chars_encoded`` is
+    null insert empty. Null texts count as empty, null edit lists as none, and so do null edits in a list. ``chars_encoded`` is
     what the edits read again. Repeated rows are counted each. ``special`` is that of the encoder.
     """
     kind = dict(docs.dtypes)["doc_id"]
@@ -160,10 +160,11 @@ def edited_counts(docs: DataFrame, tokenizer: str, special: bool = False) -> Dat
         encode = encoder(tokenizer, special)
         for batch in batches:
             ids, texts, edits = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("edits").to_pylist()
+            edits = [[e for e in todo or [] if e is not None] for todo in edits]
             for part in S.slices_of(texts):
                 trees = [CountTree(t, encode, leaves) for t, leaves in zip(texts[part], encode.word_counts(texts[part]))]
                 before = [tree.total for tree in trees]
-                n = [len(todo or []) for todo in edits[part]]
+                n = [len(todo) for todo in edits[part]]
                 for k in range(max(n)):  # the k-th edits of all documents are encoded together
                     now = [(tree, todo[k]) for tree, todo, m in zip(trees, edits[part], n) if m > k]
                     regions = [tree.open(e["start"] or 0, e["stop"] or 0, e["insert"] or "") for tree, e in now]

@@ -15,7 +15,6 @@ documents is one row for each chunk when counts are summed and handed back.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,22 +28,25 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from emberday.llm import shingles as S
 from emberday.llm.charmap import SPACE
-from emberday.llm.pieces import piece_encoder
+from emberday.llm.pieces import PieceEncoder, merged
 from emberday.llm.sparse import Csr
-from emberday.llm.tokens import Codes, byte_values, encoder, words_of
-from emberday.session import written
+from emberday.llm.tokens import Codes, Encoder, byte_values, words_of
+from emberday.session import release, written
 
 # Characters of a chunk of documents; a longer document is a chunk by itself.
-CHUNK_CHARACTERS = 8 << 20
+CHUNK_CHARACTERS = 1 << 20
+# Words whose tokens are kept from one chunk to the next.
+KNOWN_WORDS = 250_000
+_ROWS = 256
 _SIDE = np.int64(32)
 
 
 class Blocks:
     """Tokens, groups and links of distinct words, each read with a space in front."""
 
-    def __init__(self, a: tuple, b: tuple, whole: np.ndarray, words: int):
+    def __init__(self, a: tuple, b: tuple, words: int):
         (self.a_ids, a_word, a_size), (self.b_ids, b_word, b_size) = a, b
-        self.whole, self.words = whole, words
+        self.words = words
         self.a_word, self.b_word = a_word, b_word
         self.overlaps = Csr.intervals(a_size) @ Csr.intervals(b_size).transposed()
         first, last = self.overlaps.indices[self.overlaps.indptr[:-1]], self.overlaps.indices[self.overlaps.indptr[1:] - 1]
@@ -72,16 +74,20 @@ class Blocks:
 
     def spelled(self) -> list[bytes]:
         """For each word its groups as ``a1,a2|b1;a3|b2``."""
-        a = [b"%d" % i for i in self.a_ids.tolist()]
-        b = [b"%d" % i for i in self.b_ids.tolist()]
-        a_end = np.cumsum(np.bincount(self.a_group, minlength=self.groups)).tolist()
-        b_end = np.cumsum(np.bincount(self.b_group, minlength=self.groups)).tolist()
-        groups = [
-            b",".join(a[p:q]) + b"|" + b",".join(b[r:s])
-            for p, q, r, s in zip([0, *a_end], a_end, [0, *b_end], b_end)
-        ]
-        ends = np.cumsum(np.bincount(self.group_word, minlength=self.words)).tolist()
-        return [b";".join(groups[p:q]) for p, q in zip([0, *ends], ends)]
+        group, side = np.concatenate([self.a_group, self.b_group]), np.repeat([0, 1], [len(self.a_ids), len(self.b_ids)])
+        order = np.lexsort((side, group))
+        group, side = group[order], side[order]
+        ids = np.concatenate([self.a_ids.astype(np.int64), self.b_ids])[order]
+        if not len(ids):
+            return [b""] * self.words
+        table = _decimals(1 << int(ids.max()).bit_length())
+        text, ends = table.joined(ids).copy(), np.cumsum(table.sizes[ids])
+        # every number has a comma behind it; the last of a side and of a group have other signs
+        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
+        text[ends[last] - 1] = np.where(side[last] == 0, ord("|"), ord(";"))
+        stops = np.concatenate([[0], ends])[np.searchsorted(self.group_word[group], np.arange(self.words), side="right")]
+        raw, starts = text.tobytes(), np.concatenate([[0], stops[:-1]])
+        return [raw[p : max(p, q - 1)] for p, q in zip(starts.tolist(), stops.tolist())]
 
     def per_word(self) -> dict[str, np.ndarray]:
         """Tokens, groups and links of each word."""
@@ -105,38 +111,82 @@ def _counted(word: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.
 
 
 class Aligner:
-    """Tokenizes words both ways and drops those whose tokens do not spell them."""
+    """A table of words known so far with the tokens of both sides, and the blocks of chosen words.
+
+    Words stand after a space each, as ``words_of`` cuts them; ``whole`` tells which are spelled
+    by the tokens of both sides, others have none.
+    """
 
     def __init__(self, a_path: str, b_path: str):
-        self._a, self._b = encoder(a_path), piece_encoder(b_path)
-        normal = self._b.vocabulary.normalizer
-        if not self._a.plain or not normal.is_plain or not self._b.vocabulary.cuts:
+        self._a, self._b = Encoder(a_path), PieceEncoder(b_path).vocabulary
+        if not self._a.plain or not self._b.normalizer.is_plain or not self._b.cuts:
             raise ValueError("only plain byte-level and unnormalised piece tokenizers align word by word")
-        self._a_bytes = _Table(byte_values(a_path))
-        texts, kinds = self._b.vocabulary.texts, self._b.vocabulary.kinds.tolist()
+        texts, kinds = self._b.texts, self._b.kinds.tolist()
         # <0xHH> pieces are type 6 of the model format
-        self._b_bytes = _Table([bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() for t, k in zip(texts, kinds)])
-
-    def blocks(self, words: list[str]) -> Blocks:
-        """``words`` as cut by ``words_of``; ``whole`` tells which are spelled by both sides' tokens."""
+        pieces = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() for t, k in zip(texts, kinds)]
+        self._bytes = (_Table(byte_values(a_path)), _Table(pieces))
+        self._forget()
+
+    def renew(self, most: int = KNOWN_WORDS) -> None:
+        """Forget all words if there are more than ``most``."""
+        if len(self.codes) > most:
+            self._forget()
+
+    def _forget(self) -> None:
+        self.codes = Codes()
+        self._sides = [_Ids(), _Ids()]
+        self.whole = np.empty(0, bool)
+
+    def learn(self) -> None:
+        """Tokenize the words that ``codes`` has met since the last call."""
+        words = self.codes.take()
+        if not words:
+            return
         raw, begins = S.joined([" " + w for w in words], b"\n")
-        a_ids, a_count = self._a.encode_spaced(words)
-        b_ids, _, b_count = self._b.encode_words([SPACE + w.replace(" ", SPACE) for w in words])
+        size = np.diff(begins) - 1
+        b_ids, _, b_count = merged(self._b, [SPACE + w.replace(" ", SPACE) for w in words])
+        found = [self._a.ids_of(words), (b_ids, np.cumsum(b_count) - b_count, b_count)]
         whole = np.ones(len(words), bool)
-        sides = []
-        for ids, count, table in ((a_ids, a_count, self._a_bytes), (b_ids, b_count, self._b_bytes)):
-            word = np.repeat(np.arange(len(words)), count)
-            size = table.sizes[ids]
-            sides.append((ids, word, size))
-            whole &= np.bincount(word, size, minlength=len(words)) == np.diff(begins) - 1
-        # sizes fit: compare the bytes
+        for side, (ids, start, count), table in zip(self._sides, found, self._bytes):
+            ends = np.concatenate([[0], np.cumsum(table.sizes[ids])])
+            whole &= ends[start + count] - ends[start] == size
+            side.add(ids, start, count)
+        # where sizes fit, compare the bytes
         inner = np.repeat(whole, np.diff(begins))
         inner[begins[1:] - 1] = False
         want, owner = raw[inner], np.repeat(np.arange(len(words)), np.diff(begins))[inner]
-        for (ids, word, _), table in zip(sides, (self._a_bytes, self._b_bytes)):
-            whole[owner[table.joined(ids[whole[word]]) != want]] = False if len(want) else whole[:0]
-        kept = [tuple(x[whole[word]] for x in (ids, word, size)) for ids, word, size in sides]
-        return Blocks(kept[0], kept[1], whole, len(words))
+        first = len(self.whole)
+        fits = first + np.flatnonzero(whole)
+        for side, table in zip(self._sides, self._bytes):
+            whole[owner[table.joined(side.of(fits)[0]) != want]] = False
+        self.whole = np.concatenate([self.whole, whole])
+
+    def blocks(self, codes: np.ndarray) -> Blocks:
+        """The blocks of distinct known words; words that are not whole have no tokens."""
+        place = np.flatnonzero(self.whole[codes])
+        parts = []
+        for side, table in zip(self._sides, self._bytes):
+            ids, count = side.of(codes[place])
+            parts.append((ids, np.repeat(place, count), table.sizes[ids]))
+        return Blocks(parts[0], parts[1], len(codes))
+
+
+class _Ids:
+    """Token ids of numbered words."""
+
+    def __init__(self):
+        self._ids, self._start, self._count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        self._start = np.concatenate([self._start, len(self._ids) + start])
+        self._count = np.concatenate([self._count, count])
+        self._ids = np.concatenate([self._ids, ids.astype(np.int32)])
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and ids per word."""
+        count = self._count[words]
+        ends = np.cumsum(count)
+        return self._ids[np.repeat(self._start[words] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)], count
 
 
 class _Table:
@@ -153,6 +203,12 @@ class _Table:
         return self._bytes[np.repeat(self._starts[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+@lru_cache(maxsize=4)
+def _decimals(size: int) -> _Table:
+    """Numbers below ``size``, each with a comma."""
+    return _Table([b"%d," % i for i in range(size)])
+
+
 @lru_cache(maxsize=2)
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One per worker process and pair of files."""
@@ -163,18 +219,19 @@ class _Chunk:
     """Word codes of some documents, and the blocks of their distinct words."""
 
     def __init__(self, texts: list[str | None], align: Aligner):
-        codes = Codes()
+        align.renew()
         parts = [words_of(t) if t else [] for t in texts]
-        self.count = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.code = np.fromiter(map(codes.__getitem__, chain.from_iterable(parts)), np.int64, self.count.sum())
-        self.blocks = align.blocks(codes.take())
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        known = np.fromiter(map(align.codes.__getitem__, chain.from_iterable(parts)), np.int64, count.sum())
+        align.learn()
         # a document with a word that is not spelled by its tokens has no tokens
-        ends = np.cumsum(self.count)
-        torn = np.concatenate([[0], np.cumsum(~self.blocks.whole[self.code])])
-        good = torn[ends] == torn[ends - self.count]
-        self.code = self.code[np.repeat(good, self.count)]
-        self.count = np.where(good, self.count, 0)
+        torn = np.concatenate([[0], np.cumsum(~align.whole[known])])
+        ends = np.cumsum(count)
+        good = torn[ends] == torn[ends - count]
+        distinct, self.code = np.unique(known[np.repeat(good, count)], return_inverse=True)
+        self.count = np.where(good, count, 0)
         self.ends = np.cumsum(self.count)
+        self.blocks = align.blocks(distinct)
 
     def summed(self, per_word: np.ndarray) -> np.ndarray:
         """A number of each word added up over the words of each document."""
@@ -196,19 +253,31 @@ def _chunks(batches: Iterator[pa.RecordBatch], align: Aligner) -> Iterator[tuple
     texts: list[str | None] = []
     size = 0
     for batch in batches:
-        found = batch.column("text").to_pylist()
-        for part in S.slices_of(found, CHUNK_CHARACTERS):
-            n = sum(len(t or "") for t in found[part])
-            if texts and size + n > CHUNK_CHARACTERS:
-                yield pa.concat_arrays(ids), _Chunk(texts, align)
-                ids, texts, size = [], [], 0
-            ids.append(batch.column("doc_id").slice(part.start, part.stop - part.start))
-            texts += found[part]
-            size += n
+        for at in range(0, len(batch), _ROWS):
+            doc_ids, found = (c.slice(at, _ROWS) for c in (batch.column("doc_id"), batch.column("text")))
+            found = found.to_pylist()
+            for part in S.slices_of(found, CHUNK_CHARACTERS):
+                n = sum(len(t or "") for t in found[part])
+                if texts and size + n > CHUNK_CHARACTERS:
+                    yield pa.concat_arrays(ids), _Chunk(texts, align)
+                    ids, texts, size = [], [], 0
+                ids.append(doc_ids.slice(part.start, part.stop - part.start))
+                texts += found[part]
+                size += n
     if texts:
         yield pa.concat_arrays(ids), _Chunk(texts, align)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest whole bytes that hold the largest, that width first."""
+    width = next(w for w in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) >> 8 * w == 0)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -222,8 +291,8 @@ def write_chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for seq, (ids, chunk) in enumerate(_chunks(batches, aligner(a_path, b_path))):
+        task, align = TaskContext.get().partitionId(), aligner(a_path, b_path)
+        for seq, (ids, chunk) in enumerate(_chunks(batches, align)):
             blocks = chunk.blocks
             counts = {k: chunk.summed(v) for k, v in blocks.per_word().items()}
             spelled = blocks.spelled()
@@ -248,14 +317,15 @@ def write_chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     **{k: pa.array([counts[k]], pa.list_(pa.int64())) for k in _COUNTS},
                     "groups_sha256": pa.array([digests], pa.list_(pa.string())),
                     "doc_words": pa.array([chunk.count], pa.list_(pa.int64())),
-                    "words": pa.array([chunk.code.astype("<u4").tobytes()], pa.binary()),
-                    "word_links": pa.array([per_word.astype("<u4").tobytes()], pa.binary()),
-                    "links": pa.array([link.astype("<u4").tobytes()], pa.binary()),
-                    "times": pa.array([times.astype("<u4").tobytes()], pa.binary()),
+                    "words": pa.array([packed(chunk.code)], pa.binary()),
+                    "word_links": pa.array([packed(per_word)], pa.binary()),
+                    "links": pa.array([packed(link)], pa.binary()),
+                    "times": pa.array([packed(times)], pa.binary()),
                     "pairs": pa.array([pairs], pa.list_(pa.int64())),
                     "pair_docs": pa.array([held], pa.list_(pa.int64())),
                 }
             )
+        align.renew(0)  # an idle worker keeps no words
 
     lists = ", ".join(f"{k} array<bigint>" for k in _COUNTS)
     schema = (
@@ -302,7 +372,7 @@ def link_digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         order = np.argsort(pairs.column("pair").to_numpy())
         documents = pairs.column("documents").to_numpy()[order]
         best = pairs.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64)
-        code, per_word, link, times = (np.frombuffer(row[k], "<u4") for k in ("words", "word_links", "links", "times"))
+        code, per_word, link, times = (unpacked(row[k]) for k in ("words", "word_links", "links", "times"))
         count = np.array(row["doc_words"], np.int64)
         word = np.repeat(np.arange(len(per_word)), per_word)
         out = {"doc_id": chunk.column("doc_ids").combine_chunks().flatten()}
@@ -314,9 +384,10 @@ def link_digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         return pa.table(out | {"groups_sha256": pa.array(row["groups_sha256"], pa.string())})
 
     schema = f"doc_id {kind}, {', '.join(f'{k} bigint' for k in numbers)}, groups_sha256 string"
-    return (
-        chunks.drop("pairs", "pair_docs").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(finish, schema)
-    )
+    found = chunks.drop("pairs", "pair_docs").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(finish, schema)
+    digests = written(found, "token-digests")
+    release(chunks, counts)
+    return digests
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:

@@ -134,11 +134,6 @@ class Encoder:
         ids, ends = self._gather(code)
         return ids, np.diff(np.concatenate([[0], ends])[cuts])
 
-    def encode_spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``encode``, for words cut by ``words_of``, each with a space put in front."""
-        code, _ = self._look_up([words])
-        return self._gather(code)[0], self._length[code]
-
     def word_counts(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Per text: characters and number of ids of each of its words, spaces in front included.
 
@@ -169,9 +164,18 @@ class Encoder:
         return self._ids[np.repeat(self._start[code] - (ends - lengths), lengths) + np.arange(total)], ends
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words, those of letters, with or without ASCII punctuation behind them, by the model."""
-        if not words:
-            return
+        if words:
+            ids, start, length = self.ids_of(words)
+            self._start = np.concatenate([self._start, len(self._ids) + start])
+            self._length = np.concatenate([self._length, length])
+            self._ids = np.concatenate([self._ids, ids])
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words in some order, and where those of each word begin and how many they are.
+
+        Each word stands after a space. Those of letters, with or without ASCII punctuation
+        behind them, are encoded by the model, others by the whole tokenizer.
+        """
         plain = self._model is not None
         by_model, rest = [], []
         ids: list[int] = []
@@ -190,12 +194,10 @@ class Encoder:
         for k, found in zip(rest, self._whole([_spelled(words[k]) for k in rest])):
             length[k] = len(found)
             ids += found
-        order = np.array(by_model + rest)
+        order = np.array(by_model + rest, np.int64)
         start = np.empty(len(words), np.int64)
-        start[order] = len(self._ids) + np.cumsum(length[order]) - length[order]
-        self._start = np.concatenate([self._start, start])
-        self._length = np.concatenate([self._length, length])
-        self._ids = np.concatenate([self._ids, np.array(ids, np.uint32)])
+        start[order] = np.cumsum(length[order]) - length[order]
+        return np.array(ids, np.uint32), start, length
 
     def _letters(self, core: str) -> list[int]:
         if not core.isascii():
