@@ -28,8 +28,11 @@ from emberday.session import written
 
 DOCS_PER_LANGUAGE = 400
 ROUNDS = 3
-# (1e-7) ** 41 still is a normal double, so words need no scaling
+# (1e-7) ** 41 still is a normal double: words of so many letters need no scaling, longer ones
+# are summed one by one with a scale of their own.
 MAX_WORD = 40
+_SMALL = 1e-150
+_STRETCH = 1 << 16
 _FLOOR = 1e-7
 _PSEUDO = 0.05
 _MARK = "▁"
@@ -47,11 +50,8 @@ def vocabulary(path: str) -> list[str]:
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; longer ones than ``MAX_WORD`` count as several words."""
-    found = _LETTERS.findall((text or "").lower())
-    if not found or max(map(len, found)) <= MAX_WORD:
-        return found
-    return [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
+    """Lower-cased runs of letters, however long."""
+    return _LETTERS.findall((text or "").lower())
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
-        self._longest = max(map(len, pieces), default=1)
+        self.longest = max(map(len, pieces), default=1)
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         self._order = np.argsort(hashes)
         self._sorted = hashes[self._order]
@@ -88,7 +88,7 @@ class Pieces:
     def lattice(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each piece length k the piece number ending at each position, -1 for none."""
         out, run = [], np.zeros_like(codes)
-        for k in range(min(self._longest, codes.shape[1])):
+        for k in range(min(self.longest, codes.shape[1])):
             # hash of the k + 1 characters ending at each position
             step = np.zeros_like(codes)
             step[:, k:] = run[:, k - 1 : -1] if k else 0
@@ -112,11 +112,75 @@ def _probabilities(logs: np.ndarray) -> np.ndarray:
 def word_logs(pieces: Pieces, logs: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language, all segmentations summed."""
     out = np.zeros((len(words), logs.shape[1]))
-    for part, forward, lengths, _ in _passes(pieces, _probabilities(logs), words):
-        out[part] = np.log(forward[lengths, np.arange(len(part))])
+    probability = _probabilities(logs)
+    short, long = _by_length(words)
+    for part, forward, lengths, _ in _passes(pieces, probability, [words[i] for i in short]):
+        out[short[part]] = np.log(forward[lengths, np.arange(len(part))])
+    for i in long.tolist():
+        out[i] = _long_log(pieces, probability, words[i])
     return out
 
 
+def _by_length(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words that need no scaling, and of the others."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return np.flatnonzero(size <= MAX_WORD), np.flatnonzero(size > MAX_WORD)
+
+
+def _arcs(pieces: Pieces, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces in one marked word: where each ends (from 1), its length less 1, and its number.
+
+    In order of the ends. A character that is no piece is the number behind the last piece.
+    The word is looked through in stretches that overlap by the longest piece.
+    """
+    codes, _ = _codes([word])
+    found = []
+    for at in range(0, codes.shape[1], _STRETCH):
+        low = max(0, at - pieces.longest + 1)
+        lattice = pieces.lattice(codes[:, low : at + _STRETCH])
+        table = np.stack([x[0, at - low :] for x in lattice], axis=1)
+        table[:, 0] = np.where(table[:, 0] < 0, len(pieces.pieces), table[:, 0])
+        place, less = np.nonzero(table >= 0)
+        found.append((place + at + 1, less, table[place, less]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _long_log(pieces: Pieces, probability: np.ndarray, word: str) -> np.ndarray:
+    """As ``word_logs`` for one word of any length, each language rescaled when it gets small."""
+    ends, less, number = _arcs(pieces, word)
+    cuts = np.searchsorted(ends, np.arange(1, int(ends[-1]) + 2)).tolist()
+    less, number = less.tolist(), number.tolist()
+    scale = np.zeros(probability.shape[1])
+    recent = [np.ones(probability.shape[1])]
+    for a, b in zip(cuts, cuts[1:]):
+        here = sum(recent[-1 - k] * probability[p] for k, p in zip(less[a:b], number[a:b]))
+        recent = [*recent[-pieces.longest :], here]
+        if here.min() < _SMALL:
+            scale += np.log(here)
+            recent = [r / here for r in recent]
+    return np.log(recent[-1]) + scale
+
+
+def _long_counts(pieces: Pieces, probability: np.ndarray, word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Piece numbers and expected uses in one word of any length, in one language, by logarithms."""
+    ends, less, number = _arcs(pieces, word)
+    starts, logs = ends - 1 - less, np.log(probability)[number]
+    n = int(ends[-1])
+    ahead, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    ahead[0] = back[n] = 0.0
+    cuts = np.searchsorted(ends, np.arange(1, n + 2))
+    for j, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()), 1):
+        ahead[j] = np.logaddexp.reduce(ahead[starts[a:b]] + logs[a:b])
+    order = np.argsort(starts, kind="stable")
+    cuts = np.searchsorted(starts[order], np.arange(n + 1)).tolist()
+    for j in range(n - 1, -1, -1):
+        out = order[cuts[j] : cuts[j + 1]]
+        back[j] = np.logaddexp.reduce(back[ends[out]] + logs[out])
+    uses = np.exp(ahead[starts] + logs + back[ends] - ahead[n])
+    known = number < len(pieces.pieces)
+    return number[known], uses[known]
+
+
 def _passes(pieces: Pieces, probability: np.ndarray, words: list[str]) -> Iterator[tuple]:
     """Forward tables (position, word, language) of words of like length, with their lattices."""
     order = np.argsort([len(w) for w in words], kind="stable")
@@ -139,7 +203,12 @@ def expected_counts(pieces: Pieces, logs: np.ndarray, words: list[str], counts:
     """Expected number of uses of each piece in each language, for counted words of known language."""
     out = np.zeros((len(pieces.pieces), logs.shape[1]))
     probability = _probabilities(logs)
-    for part, forward, lengths, lattice in _passes(pieces, probability, words):
+    short, long = _by_length(words)
+    for i in long.tolist():
+        piece, uses = _long_counts(pieces, probability[:, lang[i]], words[i])
+        np.add.at(out[:, lang[i]], piece, uses * counts[i])
+    for part, forward, lengths, lattice in _passes(pieces, probability, [words[i] for i in short]):
+        part = short[part]
         rows, of = np.arange(len(part)), lang[part]
         ahead = forward[:, rows, of]
         back = np.zeros_like(ahead)
@@ -201,7 +270,10 @@ class WordTable:
 
 
 def fit(docs: DataFrame, vocabulary_path: str) -> Model:
-    """Fit on at most ``DOCS_PER_LANGUAGE`` documents of each language, the first by a hash of the id.
+    """Fit on about ``DOCS_PER_LANGUAGE`` documents of each language, or all there are, by a hash of the id.
+
+    The expected number is the bound: a document is learned from if its hash is below the
+    language's share, so the number varies by its square root, whatever the input.
 
     ``docs`` are the rows to learn from; null languages and texts without letters teach nothing.
     """
@@ -211,7 +283,7 @@ def fit(docs: DataFrame, vocabulary_path: str) -> Model:
     logs = np.full((len(pieces), max(1, len(languages))), -np.log(max(1, len(pieces))))
     if not languages:
         return Model([], pieces, logs)
-    # cut by a hash of the id: about as many of each language, then exactly the bound
+    # a share by a hash of the id: about as many of each language
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(1.0)
     for lang, n in sizes.items():
