@@ -1,4 +1,4 @@
-"""Queries that fit models. Fits have no SQL twin; their output is checked in the tests."""
+"""Queries that fit models. Few fits have an SQL twin; their output is checked in the tests."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.standins import flag_base, rounded, table
+from catalog.standins import flag_base, r, rounded, table
 from emberday.models.calibration import apply_isotonic, apply_platt, fit_isotonic, fit_platt
 from emberday.models.classifiers import (
     DAILY_FEATURES,
@@ -127,6 +127,30 @@ def isotonic(spark, sf_dir):
     return rounded(apply_isotonic(model, rows.filter("not early").drop("early")))
 
 
+# The min-max form: the largest, over starts at or before a score, of the smallest mean label
+# up to an end at or behind it.
+SQL["isotonic"] = f"""
+WITH items AS (
+  SELECT CAST(l_suppkey AS INTEGER) AS station_id, CAST(l_shipdate AS DATE) AS date,
+    CAST(l_quantity * l_discount > 2 AS INTEGER) AS fire_label, l_quantity / 51 AS pred_prob,
+    CAST(l_shipdate AS DATE) < DATE '1998-06-01' AS early
+  FROM lineitem
+), counts AS (
+  SELECT pred_prob AS x, sum(fire_label) AS pos, count(*) AS n FROM items WHERE early GROUP BY 1
+), summed AS (
+  SELECT x, pos, n, row_number() OVER (ORDER BY x) AS r, sum(pos) OVER (ORDER BY x) AS cp, sum(n) OVER (ORDER BY x) AS cn
+  FROM counts
+), smallest AS (
+  SELECT i.x, j.r, min((k.cp - j.cp + j.pos) / (k.cn - j.cn + j.n)) AS m
+  FROM summed i JOIN summed j ON j.r <= i.r JOIN summed k ON k.r >= i.r GROUP BY 1, 2
+), fitted AS (
+  SELECT x, max(m) AS y FROM smallest GROUP BY 1
+)
+SELECT station_id, date, fire_label, {r("y", "pred_prob")}
+FROM items LEFT JOIN fitted ON x = pred_prob WHERE NOT early
+"""
+
+
 @query("calibration_study")
 def q_calibration_study(spark, sf_dir):
     metrics, _, _ = calibration_study(_wide(spark, sf_dir), "logistic")
