@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberday.session import written
+from emberday.session import release, written
 
 MAX_ROUNDS = 64
 
@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smaller ones, to the smallest id it knows. A round halves long chains, a hub of any
     degree only takes part in a ``min`` (combined before the shuffle) and a join whose hot
     key adaptive execution splits. Every round is written to the shared folder, so a lost
-    executor re-reads files. Links with a null end and self links are left out; repeated
+    executor re-reads files. Earlier rounds are deleted; the result is a written table. Links with a null end and self links are left out; repeated
     links count once; no links give no rows. Ids may be of any orderable type.
     """
     edges = _smaller_first(
@@ -27,13 +27,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _settled(edges):
             break
-        edges = written(_small_star(_large_star(edges)), "links")
+        edges, before = written(_small_star(_large_star(edges)), "links"), edges
+        release(before)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     # settled: every node but the smallest points straight at it
-    return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(
+    named = edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(
         edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
     )
+    table = written(named, "components")
+    release(edges)
+    return table
 
 
 def _settled(edges: DataFrame) -> bool:

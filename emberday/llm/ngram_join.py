@@ -28,11 +28,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberday.llm import shingles as S
 from emberday.llm.components import components
-from emberday.session import written
+from emberday.llm.names import free_names
+from emberday.session import release, written
 
 SKETCH_BITS = 18
 _STRIPE = 1 << 12
@@ -166,12 +168,12 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame
     needed = written(wanted.select("node", "id", "text_hash").join(ends, "node"), "ngram-needed")
     count = needed.count()
     if not count:
+        release(pairs, needed)
         return None
-    if count <= BROADCAST_NODES:
-        needed = F.broadcast(needed)
+    few = F.broadcast(needed) if count <= BROADCAST_NODES else needed
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     same_row = (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    texts = keyed.join(needed, same_row).select("node", "text").dropDuplicates(["node"])
+    texts = keyed.join(few, same_row).select("node", "text").dropDuplicates(["node"])
     one, other = (
         texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b")
     )
@@ -190,7 +192,9 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame
                 keep.append(common >= required_overlap(len(p), len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(loaded.mapInArrow(check, "a bigint, b bigint"), "ngram-links")
+    links = written(loaded.mapInArrow(check, "a bigint, b bigint"), "ngram-links")
+    release(pairs, needed)
+    return links
 
 
 def _possible(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -377,12 +381,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def _row_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    table = written(
+    full = written(
         prefix_table(docs, shingle_counts(docs)).withColumn("node", F.xxhash64("key", "n")), "ngram-prefixes"
     )
+    table = written(full.select("doc_id", "text_hash", "n", "node"), "ngram-nodes")
     # equal sets become one node, read from the text of its smallest row
     sets = (
-        table.where("n > 0")
+        full.where("n > 0")
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("first"),
@@ -391,20 +396,22 @@ def _row_classes(docs: DataFrame) -> DataFrame:
         )
         .withColumn("prefix_key", F.xxhash64("n", "prefix"))
     )
-    groups = sets.groupBy("prefix_key").agg(
-        F.min(F.struct("first", "node")).alias("g"), F.min("n").alias("n"), F.min("prefix").alias("prefix")
-    )
+    groups = sets.groupBy("prefix_key").agg(F.min(F.struct("first", "node")).alias("g"))
+    own = F.col("node") == F.col("grp")
     members = written(
         sets.join(groups.select("prefix_key", F.col("g.node").alias("grp")), "prefix_key").select(
-            "node", "first", "row", "n", "grp", "bitmap"
+            "node", "first", "row", "n", "grp", "bitmap", F.when(own, F.col("prefix")).alias("prefix")
         ),
         "ngram-members",
     )
-    postings = groups.select(
-        F.col("g.first").alias("first"), F.col("g.node").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token")
-    )
-    shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    postings = written(postings.join(shared, "token"), "ngram-postings")
+    release(full)
+    groups = members.where(own).select("grp", "first", "n", "prefix")
+    # one exchange of narrow rows finds the tokens of several groups; most rows end here
+    mine = W.partitionBy("token").orderBy("grp")
+    several = F.lag("grp").over(mine).isNotNull() | F.lead("grp").over(mine).isNotNull()
+    shared = groups.select("grp", F.posexplode("prefix").alias("pos", "token"))
+    shared = shared.withColumn("several", several).where("several").select("grp", "pos", "token")
+    postings = written(shared.join(groups.select("grp", "first", "n"), "grp"), "ngram-postings")
 
     wanted = members.select(
         "node", "n", "bitmap", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("text_hash")
@@ -414,8 +421,7 @@ def _row_classes(docs: DataFrame) -> DataFrame:
         members.select(F.col("grp").alias("h"), F.col("node").alias("m")), "h"
     ).select(F.least("g", "m").alias("a"), F.greatest("g", "m").alias("b"))
     inside = members.where("grp <> node").select(F.least("grp", "node").alias("a"), F.greatest("grp", "node").alias("b"))
-    links = verified(found.unionByName(inside).distinct(), wanted, docs)
-    classes = _classes(links, members)
+    classes = _joined_classes(None, verified(found.unionByName(inside).distinct(), wanted, docs), members)
 
     # members of one group share their whole prefix: the group is one more bucket
     crowded = members.where("grp <> node").select("grp").distinct()
@@ -428,16 +434,17 @@ def _row_classes(docs: DataFrame) -> DataFrame:
         if not best_only:
             found = found.unionByName(_small_bucket_pairs(rows))
         more = verified(found.distinct(), wanted, docs)
+        release(rows)
         if more is not None:
-            links = more if links is None else links.unionByName(more)
-            classes = _classes(links, members)
+            classes = _joined_classes(classes, more, members)
+    release(postings)
 
     of_node = (
         members.join(classes.select(F.col("id").alias("node"), "component"), "node", "left")
         .select("node", F.coalesce("component", "node").alias("component"), "first")
     )
     named = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    return (
+    result = written(
         table.select("doc_id", "text_hash", "n", "node")
         .join(of_node.join(named, "component").select("node", "component_id"), "node", "left")
         .select(
@@ -445,14 +452,23 @@ def _row_classes(docs: DataFrame) -> DataFrame:
             "text_hash",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
+        ),
+        "ngram-rows",
     )
+    release(table, members, classes)
+    return result
 
 
-def _classes(links: DataFrame | None, members: DataFrame) -> DataFrame:
+def _joined_classes(known: DataFrame | None, links: DataFrame | None, members: DataFrame) -> DataFrame:
+    """Classes by new links and the classes known before, which are links to their smallest node."""
     if links is None:
-        return members.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0)
-    return written(components(links), "ngram-classes")
+        return written(members.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0), "ngram-classes")
+    all_links = links
+    if known is not None:
+        all_links = links.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    classes = components(all_links)
+    release(links, *([known] if known is not None else []))
+    return classes
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
@@ -463,12 +479,16 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     without any doc_id.
     """
     classes = _row_classes(docs)
-    drop = classes.where("n_shingles > 0 and (doc_id is null or doc_id <> component_id) and component_id is not null")
-    drop = drop.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    kept = docs.join(drop, same, "left_anti")
+    ids, hashes = free_names(docs, "id", "hash")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(ids), F.col("text_hash").alias(hashes))
+
+    drop = named(classes.where("n_shingles > 0 and (doc_id is null or doc_id <> component_id) and component_id is not null"))
+    same = docs["doc_id"].eqNullSafe(F.col(ids)) & (F.xxhash64(docs["text"]) == F.col(hashes))
+    kept = docs.join(drop.distinct(), same, "left_anti")
     repeated = classes.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", "text_hash").count()
-    repeated = repeated.where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    repeated = named(repeated.where("count > 1"))
     if not repeated.take(1):
         return kept
     return kept.join(repeated, same, "left_anti").unionByName(

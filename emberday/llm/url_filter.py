@@ -228,7 +228,7 @@ def verdicts(
     if not links.take(1):
         aliased = judged.withColumn("alias_of", F.lit(None).cast("string")).withColumn("spread", F.lit(None).cast("string"))
     else:
-        nodes = written(components(links), "url-components")
+        nodes = components(links)
         urls = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("u").alias("url")), F.struct(F.col("b").alias("id"), F.col("v").alias("url")))).alias("n"))
         ruled = with_rule(
             urls.select(F.col("n.id").alias("id"), host_of(F.col("n.url")).alias("host"), path_of(F.col("n.url")).alias("path")).distinct(),
