@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberday.functions.parsing import parse_day_digits, parse_event_timestamp
 from emberday.operators.prefix import sequential_ids
 
+# Columns of the event table.
 EVENT_COLUMNS = (
     "fire_id", "fire_datetime", "fire_date", "year", "month", "CTPRV_NM", "SGNG_NM",
     "station_id", "dist_m", "lon", "lat",

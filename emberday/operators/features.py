@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberday.functions.calendar import with_calendar_columns
 
+# Steps back, window lengths, and the measures features are made from.
 LAGS = (1, 3, 7, 14)
 WINDOWS = (3, 7, 14)
 CONTINUOUS = ("TA_day", "TA_dtr_day", "POP_day", "WD_sin_day", "WD_cos_day")
@@ -23,6 +24,7 @@ QUALITY = ("obs_cnt_sel",)
 SKY = "SKY_day"
 CURRENT_DAY = (*CONTINUOUS, *BINARY, *QUALITY, SKY)
 
+# What a row has of its own.
 STATIC_FEATURES = ("station_id", "stn_lat", "stn_lon", "month", "dayofyear", "doy_sin", "doy_cos")
 
 

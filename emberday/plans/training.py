@@ -278,7 +278,7 @@ def rolling_backtest(
         for r in folds.filter(F.col("eligible") == 1).orderBy("test_year").collect()
     ]
     if not years:
-        raise ValueError("no eligible year: check the range and the labels")
+        raise ValueError("years in range all lack rows or one of the two labels")
     year = F.year(F.col("date").cast("date"))
     predictions = []
     for y in years:
