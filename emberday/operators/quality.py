@@ -181,3 +181,8 @@ def table_overview(df: DataFrame) -> DataFrame:
         ]
     )
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(fields), "rows")
+
+
+def head_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows of a table as stored, what a person looks at first; no order is implied."""
+    return df.limit(n)

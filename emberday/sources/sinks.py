@@ -29,7 +29,10 @@ def write_base(df: DataFrame, path: str) -> None:
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header; ``mark`` puts the UTF-8 byte order mark in front of it, for spreadsheets."""
+    if mark and df.columns:
+        df = df.toDF(f"\ufeff{df.columns[0]}", *df.columns[1:])
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
