@@ -35,6 +35,7 @@ MAGIC = b"DAC1"
 END_ID = 0
 SEGMENT_TOKENS = 1 << 18
 _BLOCK_BITS = 512
+_ROWS = 512
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -141,12 +142,14 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int, spe
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, special: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Document ids, token counts and ids of slices of documents, end ids included."""
     encode = encoder(tokenizer, special).encode
-    for batch in batches:
-        texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-        for piece in S.slices_of(texts, SEGMENT_TOKENS):
-            ids, counts = encode(texts[piece])
-            ids = np.insert(ids, np.cumsum(counts), END_ID)
-            yield doc_ids[piece], counts + 1, ids
+    for whole in batches:
+        for at in range(0, len(whole), _ROWS):  # few texts at a time become Python strings
+            batch = whole.slice(at, _ROWS)
+            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for piece in S.slices_of(texts, SEGMENT_TOKENS):
+                ids, counts = encode(texts[piece])
+                ids = np.insert(ids, np.cumsum(counts), END_ID)
+                yield doc_ids[piece], counts + 1, ids
 
 
 def _segment_row(part: int, seq: int, offset: int, held: list, id_type: pa.DataType) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-MAX_KNOWN = 1_200_000
+MAX_KNOWN = 900_000
 # Letters below this sign are letters in every version of Unicode the libraries may follow.
 _SURE_LETTERS = "\u0250"
 # A space beside other white space may belong to a longer run: no cut there.
