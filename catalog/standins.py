@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberday.functions.weather import wind_cos, wind_sin
 from emberday.operators.base import station_day_base
 from emberday.operators.daily import daily_base
-from emberday.operators.hourly import HOURLY_COLUMNS, hourly_observations
+from emberday.operators.hourly import HOURLY_COLUMNS, computed_once, hourly_observations
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,9 @@ def _k() -> Column:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text observations: four time formats, unreadable times, sentinels, bad numbers."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = computed_once(
+        table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", _k().alias("k"))
+    )
     whole = F.regexp_replace(F.substring(F.col("ts").cast("string"), 1, 19), r"[^0-9]", "")
     return e.select(
         F.col("user_id").cast("string").alias("stn"),

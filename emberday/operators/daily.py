@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from emberday.functions.weather import sky_ordinal
 from emberday.operators.hourly import MEASURES
+from emberday.session import written
 
 PREFERRED_HOURS = (0, 12)
 KEYS = ("station_id", "date")
@@ -94,15 +95,11 @@ def daily_compact(hourly: DataFrame) -> DataFrame:
     """The older daily table: sky as ordinal, range as max minus min.
 
     Hours 00 and 12 are used for the whole input; only when the input has no such row
-    anywhere are all hours used.
+    anywhere are all hours used. The groups are written, as both questions are put to them;
+    the raw input is parsed once.
     """
-    preferred = F.col("hour").isin(*PREFERRED_HOURS)
-    any_preferred = hourly.select(
-        F.coalesce(F.max(preferred.cast("int")), F.lit(0))
-    ).scalar()
-    rows = hourly.filter(preferred | (any_preferred == 0))
-
-    by_sky = rows.groupBy(*KEYS, "SKY").agg(
+    preferred = F.coalesce(F.col("hour").isin(*PREFERRED_HOURS), F.lit(False))
+    grouped = hourly.groupBy(*KEYS, "SKY", preferred.alias("preferred")).agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.sum(m).alias(f"{m}_sum") for m in _MEANS],
         *[F.count(m).alias(f"{m}_n") for m in _MEANS],
@@ -110,6 +107,9 @@ def daily_compact(hourly: DataFrame) -> DataFrame:
         F.max("TA").alias("TA_max"),
         F.max("is_precip").alias("precip"),
     )
+    grouped = written(grouped, "compact")
+    any_preferred = grouped.select(F.coalesce(F.max(F.col("preferred").cast("int")), F.lit(0))).scalar()
+    by_sky = grouped.filter(F.col("preferred") | (any_preferred == 0))
     by_day = by_sky.groupBy(*KEYS).agg(
         *[F.sum(f"{m}_{p}").alias(f"{m}_{p}") for m in _MEANS for p in ("sum", "n")],
         F.min("TA_min").alias("TA_min"),

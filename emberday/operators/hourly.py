@@ -68,6 +68,15 @@ def with_absent_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     )
 
 
+def computed_once(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``df`` as rows unrolled from one struct, so that what reads its columns does not repeat their making.
+
+    Spark merges projections and moves filters below them, copying an expression to every place
+    that names it; parsing names each text several times. It does neither across an unrolled struct.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]))))
+
+
 def hourly_observations(
     raw: DataFrame,
     aliases: Mapping[str, Sequence[str]] = OBS_ALIASES,
@@ -78,16 +87,16 @@ def hourly_observations(
     ``stations`` keeps only the listed ids; None keeps all.
     """
     named = select_aliased(raw, aliases, required=("station_id", "obs_ts"))
-    named = with_absent_columns(named, {**{m: "double" for m in MEASURES}, "SKY": "string"})
+    named = with_absent_columns(computed_once(named), {**{m: "double" for m in MEASURES}, "SKY": "string"})
     typed = named.select(
         to_code(F.col("station_id")).alias("station_id"),
         parse_obs_timestamp(F.col("obs_ts")).alias("obs_ts"),
         *[to_number(F.col(m)).alias(m) for m in MEASURES],
         clean_code(F.col("SKY")).alias("SKY"),
-    ).filter(F.col("station_id").isNotNull() & F.col("obs_ts").isNotNull())
+    )
+    typed = computed_once(typed).filter(F.col("station_id").isNotNull() & F.col("obs_ts").isNotNull())
     if stations is not None:
         typed = typed.filter(F.col("station_id").isin(*stations))
-    # A projection of its own, so that a number is parsed once and then compared.
     return typed.withColumns(
         {
             **{m: drop_sentinels(F.col(m)) for m in MEASURES},
