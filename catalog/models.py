@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.standins import flag_base, r, rounded, table
+from catalog.standins import flag_base, flag_share_labels, r, rounded, table
 from emberday.models.calibration import apply_isotonic, apply_platt, fit_isotonic, fit_platt
 from emberday.models.classifiers import (
     DAILY_FEATURES,
@@ -45,13 +45,17 @@ def query(name: str):
     return register
 
 
+def _base(spark, sf_dir) -> DataFrame:
+    return flag_base(spark, sf_dir, flag_share_labels)
+
+
 def _wide(spark, sf_dir) -> DataFrame:
-    return wide_features(flag_base(spark, sf_dir))
+    return wide_features(_base(spark, sf_dir))
 
 
 def _daily(spark, sf_dir) -> DataFrame:
     """The older labelled daily table: six plain columns."""
-    base = flag_base(spark, sf_dir)
+    base = _base(spark, sf_dir)
     return base.select(
         "station_id", "date", "fire_label",
         F.col("TA_day").alias("TA"), F.col("POP_day").alias("POP"),
@@ -76,7 +80,7 @@ def gbt_fit_score(spark, sf_dir):
 
 @query("sequence_fit_score")
 def sequence_fit_score(spark, sf_dir):
-    samples = sequence_samples(flag_base(spark, sf_dir))
+    samples = sequence_samples(_base(spark, sf_dir))
     _, scored, _ = sequence_holdout(samples)
     return rounded(scored)
 

@@ -319,11 +319,29 @@ def flag_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def flag_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flag_share_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with more than the usual share of large discounted items.
+
+    ``flag_labels`` asks for one such item a day, which every day of a large table has; a share
+    leaves both classes at any size. Below some forty items a day the two agree.
+    """
+    wanted = (F.col("l_quantity") >= 45) & (F.col("l_discount") >= 0.09)
+    days = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.ascii("l_returnflag").alias("station_id"), F.to_date("l_shipdate").alias("date"))
+        .agg(F.count(F.when(wanted, 1)).alias("_hits"), F.count(F.lit(1)).alias("_rows"))
+    )
+    usual = days.select(F.sum("_hits") / F.sum("_rows")).scalar()
+    return days.filter(F.col("_hits") / F.col("_rows") > usual).select(
+        "station_id", "date", F.lit(1).alias("fire_label")
+    )
+
+
+def flag_base(spark: SparkSession, sf_dir: str, labels=flag_labels) -> DataFrame:
     return station_day_base(
         daily_base(hourly_lineitem(spark, sf_dir)),
         flag_stations(spark, sf_dir),
-        flag_labels(spark, sf_dir),
+        labels(spark, sf_dir),
     )
 
 
