@@ -34,9 +34,10 @@ def prediction_table(scores: DataFrame, thresholds: DataFrame, stations: DataFra
     """Scores (model_name, station_id, date, pred_prob) to the output contract.
 
     Models without a stored threshold use the default. Stations join on their id, many
-    rows to one.
+    rows to one. Thresholds, a row per model, go to the scores: an exchange by model would
+    leave all scores of a model to one task.
     """
-    joined = scores.join(thresholds, "model_name", "left").join(stations, "station_id", "left")
+    joined = scores.join(F.broadcast(thresholds), "model_name", "left").join(stations, "station_id", "left")
     threshold: Column = F.coalesce(F.col("alert_threshold"), F.lit(DEFAULT_THRESHOLD))
     return joined.withColumns(
         {"pred_prob": finite_or_null(F.col("pred_prob").cast("double")), "alert_threshold": threshold}
