@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberday.functions.risk import finite_or_null
 from emberday.operators.prefix import running_totals
+from emberday.session import written
 
 LABEL = "fire_label"
 SCORE = "pred_prob"
@@ -139,7 +140,13 @@ def classification_metrics(
     ``min_precision``, at the lowest such threshold; ``recall_at_far`` the best recall
     with at most ``max_far`` false alarms, at the highest such threshold.
     """
-    curve = cumulative_counts(score_counts(df, keys, label, score), keys)
+    return _metrics_of_counts(score_counts(df, keys, label, score), keys, threshold, min_precision, max_far)
+
+
+def _metrics_of_counts(
+    counts: DataFrame, keys: Sequence[str], threshold: float, min_precision: float, max_far: float
+) -> DataFrame:
+    curve = cumulative_counts(counts, keys)
     pos, neg, s = F.col("pos"), F.col("neg"), F.col("score")
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     precision = tp / (tp + fp)
@@ -349,8 +356,12 @@ def recommended_thresholds(
     label: str = LABEL,
     score: str = SCORE,
 ) -> DataFrame:
-    """Metrics at the baseline, the recall-priority and the false-alarm-limited threshold."""
-    best = classification_metrics(df, keys, baseline, min_precision, max_far, label, score)
+    """Metrics at the baseline, the recall-priority and the false-alarm-limited threshold.
+
+    The counts are written: the search for the thresholds and their metrics both read them.
+    """
+    counts = written(score_counts(df, keys, label, score), "counts")
+    best = _metrics_of_counts(counts, keys, baseline, min_precision, max_far)
     picked = (
         best.select(
             *keys,
@@ -363,7 +374,7 @@ def recommended_thresholds(
         .filter(F.col("threshold").isNotNull())
         .distinct()
     )
-    return metrics_at_thresholds(score_counts(df, keys, label, score), picked, keys)
+    return metrics_at_thresholds(counts, picked, keys)
 
 
 CALIBRATION_EDGES = tuple(i / 10 for i in range(11))

@@ -24,6 +24,8 @@ from emberday.session import written
 CELLS = 512
 # Ranks of the bounds are off by at most one in so many values, a fortieth of a cell.
 _SUMMARY = 40 * CELLS
+# A key with at most so many values is not cut: one task orders them.
+_ONE_CELL = 8 * CELLS
 
 
 def splitters(value: Column) -> Column:
@@ -48,11 +50,16 @@ def _celled(df: DataFrame, keys: Sequence[str], value: str, total: str) -> DataF
     """``df``, one row per (keys, value), with the cell of each value within its key.
 
     Taking a total along keeps the summary on top of ``df``'s own aggregate, not of raw rows.
+    Keys with few values are one cell, without a summary: of stations there may be millions.
     """
-    found = df.groupBy(*keys).agg(splitters(F.col(value)).alias("_bounds"), F.sum(total).alias("_some"))
     if keys:
-        bounded = df.join(found.filter(F.col("_some").isNotNull()).drop("_some"), list(keys))
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"), F.sum(total).alias("_some"))
+        sizes = sizes.filter(F.col("_some").isNotNull())
+        crowded = df.join(sizes.filter(F.col("_values") > _ONE_CELL).select(*keys), list(keys), "left_semi")
+        bounds = crowded.groupBy(*keys).agg(splitters(F.col(value)).alias("_bounds"))
+        bounded = df.join(sizes.select(*keys).join(bounds, list(keys), "left"), list(keys))
     else:
+        found = df.agg(splitters(F.col(value)).alias("_bounds"), F.sum(total).alias("_some"))
         one = found.select(F.when(F.col("_some").isNotNull(), F.col("_bounds"))).scalar()
         bounded = df.withColumn("_bounds", one)
     return bounded.withColumn("_cell", cell_of(F.col(value), F.col("_bounds"))).drop("_bounds")
