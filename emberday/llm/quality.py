@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberday.llm import shingles as S
+from emberday.operators.prefix import running_totals
+from emberday.session import release, written
 
 THRESHOLD = 0.7
-# Bounds of the training sample: labelled rows of each class, and pairs drawn from them.
+# Labelled rows of a class in a block, and pairs drawn from a block.
 ROWS_PER_CLASS = 4000
 PAIRS = 60_000
 _RIDGE = 1e-3
@@ -186,31 +188,142 @@ def _batch_scores(batch: pa.RecordBatch, model: Ranking | None) -> np.ndarray:
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame) -> Ranking | None:
-    """Fit on at most ``ROWS_PER_CLASS`` labelled rows of each class, the first by a hash of the id.
+    """Fit on every labelled row; None if a class has none, as no pair exists then.
 
-    Only the texts of this bounded sample are looked at; its ids are broadcast.
+    The larger class is dealt into blocks of about ``ROWS_PER_CLASS`` rows by a hash of the id,
+    the smaller one into as many slices as it fills; a block meets one slice, a slice several
+    blocks in turn. Each block draws ``PAIRS`` pairs, in which every row of it takes part.
+    Newton's sums come from the blocks, the threshold from running counts over all scores.
     """
     known = labels.select("doc_id", "quality").where("quality in (0, 1) and doc_id is not null")
-    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
-    counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
-    parts = [
-        known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS) for q in (0, 1)
-    ]
-    sample = parts[0].unionByName(parts[1])
+    held = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    share = {r.quality: r["count"] for r in held.groupBy("quality").count().collect()}
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            x = [row for part in S.slices_of(texts) for row in text_features(texts[part])]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array(x, pa.list_(pa.float64()))})
+
+    made = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(features, f"doc_id {kind}, x array<double>")
+    rows = written(made.join(known, "doc_id").select("doc_id", "quality", "x", F.xxhash64("x").alias("h")), "quality")
+    n = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
+    if len(n) < 2:
+        return None
+    scale = _deviations(rows)
+    blocks = _blocks(rows, n)
+    w = _fit_blocks(blocks, scale) / scale
+    release(blocks)
+    bad = share[0] / sum(share.values())
+    ranking = Ranking(w, _cut_of_scores(rows, w, {1: (1 - bad) / n[1], 0: bad / n[0]}))
+    release(rows)
+    return ranking
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def _sums(df: DataFrame, measure) -> np.ndarray:
+    """``measure`` of each batch, numbers of one length, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = text_features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_pydict(
-                {"quality": batch.column("quality"), "x": pa.array(list(x), pa.list_(pa.float64()))}
-            )
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
-    found = texts.mapInArrow(run, "quality int, x array<double>").orderBy(F.xxhash64("x"), "x")
-    rows = {
-        q: np.array([r.x for r in found.where(F.col("quality") == q).limit(ROWS_PER_CLASS).collect()]).reshape(
-            -1, len(FEATURES)
-        )
-        for q in (0, 1)
-    }
-    return fit_ranking(rows[1], rows[0], counts.get(0, 0) / max(1, sum(counts.values())))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"v": pa.array([measure(batch)], pa.list_(pa.float64()))})
+
+    total = df.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([r.v for r in total.orderBy("i").collect()])
+
+
+def _deviations(rows: DataFrame) -> np.ndarray:
+    """Population deviation of each feature over all rows, 1 where it is zero."""
+    k = len(FEATURES)
+    first = _sums(rows.select("x"), lambda b: [*_matrix(b.column("x")).sum(axis=0), b.num_rows])
+    mean = first[:k] / first[k]
+    squares = _sums(rows.select("x"), lambda b: list(((_matrix(b.column("x")) - mean) ** 2).sum(axis=0)))
+    scale = np.sqrt(squares / first[k])
+    scale[scale < 1e-12] = 1
+    return scale
+
+
+def _blocks(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """``(block, good, bad)``: the feature rows of both classes, packed, ordered by their hash."""
+    large = max(n, key=n.get)
+    count = -(-n[large] // ROWS_PER_CLASS)
+    slices = max(1, min(count, n[1 - large] // ROWS_PER_CLASS))
+    place = F.xxhash64("doc_id")
+    dealt = rows.where(F.col("quality") == large).select(F.pmod(place, F.lit(count)).alias("block"), "quality", "x", "h")
+    turns = F.sequence(F.pmod(place, F.lit(slices)), F.lit(count - 1).cast("long"), F.lit(slices).cast("long"))
+    met = rows.where(F.col("quality") != large).select(F.explode(turns).alias("block"), "quality", "x", "h")
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x = _matrix(table.column("x").combine_chunks())
+        order = np.lexsort([*x.T[::-1], table.column("h").to_numpy()])
+        good = table.column("quality").to_numpy()[order] == 1
+        x = x[order]
+        return pa.table({"block": table.column("block")[:1], "good": [x[good].tobytes()], "bad": [x[~good].tobytes()]})
+
+    packed = dealt.unionByName(met).groupBy("block").applyInArrow(pack, "block long, good binary, bad binary")
+    return written(packed, "pairs")
+
+
+def _fit_blocks(blocks: DataFrame, scale: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Newton steps for mean log(1 + exp(-w.d)) plus a ridge over the pairs of all blocks."""
+    k = len(FEATURES)
+    w = np.zeros(k)
+    for _ in range(50):
+
+        def measure(batch: pa.RecordBatch, w=w) -> list[float]:
+            total = np.zeros(k + k * k + 1)
+            for block, good, bad in zip(*(batch.column(c).to_pylist() for c in ("block", "good", "bad"))):
+                good, bad = (np.frombuffer(v).reshape(-1, k) for v in (good, bad))
+                if not len(good) or not len(bad):
+                    continue
+                rng = np.random.default_rng(seed + block)
+                g = rng.permuted(np.resize(np.arange(len(good)), max(PAIRS, len(good), len(bad))))
+                b = rng.permuted(np.resize(np.arange(len(bad)), len(g)))
+                d = (good[g] - bad[b]) / scale
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+                total += [*-(d * p[:, None]).sum(axis=0), *((d.T * (p * (1 - p))) @ d).ravel(), len(d)]
+            return list(total)
+
+        sums = _sums(blocks, measure)
+        pairs = sums[-1]
+        gradient = sums[:k] / pairs + _RIDGE * w
+        hessian = sums[k:-1].reshape(k, k) / pairs + _RIDGE * np.eye(k)
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def _cut_of_scores(rows: DataFrame, w: np.ndarray, mass: dict[int, float]) -> float:
+    """As ``_quantile_cut``, from running counts of both classes over the scores of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"quality": batch.column("quality"), "s": pa.array(_matrix(batch.column("x")) @ w)})
+
+    scored = rows.select(F.col("quality").cast("int"), "x").mapInArrow(run, "quality int, s double")
+    counts = written(
+        scored.groupBy("s").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad")), "scores"
+    )
+    at = running_totals(counts, [], "s", ["good", "bad"])
+    before_good, before_bad = F.col("cum_good") - F.col("good"), F.col("cum_bad") - F.col("bad")
+    level = F.col("cum_good") * mass[1] + F.col("cum_bad") * mass[0]
+    earlier = before_good * mass[1] + before_bad * mass[0]
+    steps = F.floor(level * _QUANTILES + 1e-9) > F.floor(earlier * _QUANTILES + 1e-9)
+    first = (before_good + before_bad) == 0
+    loss = before_good * mass[1] + (F.col("all_bad") - before_bad) * mass[0]
+    inner = F.ceil(earlier * _QUANTILES + 1e-9) < _QUANTILES
+    tried = at.where(first | (steps & inner)).select("s", loss.alias("loss")).orderBy("s").collect()
+    least = min(r.loss for r in tried) + 1e-12
+    best = [r.s for r in tried if r.loss <= least]
+    cut = best[len(best) // 2]
+    below = counts.where(F.col("s") < cut).agg(F.max("s")).first()[0]
+    release(counts)
+    return cut if below is None else (below + cut) / 2
