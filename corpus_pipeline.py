@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from emberday.llm import decontamination, mixing, ngram_join, quality, queries, token_store
 from emberday.session import written
 
+# Words a worker remembers: it keeps them while later stages run in it.
+KNOWN_WORDS = 300_000
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the pairwise quality ranking accepts."""
@@ -30,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written in directly addressable codes; a row per document as read back."""
-    return token_store.encoded_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"), special=True)
+    return token_store.encoded_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"), special=True, known=KNOWN_WORDS)
 
 
 STAGES = [

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 SHINGLE_WORDS = 5
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C55
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -104,14 +104,16 @@ class Segment:
         return out
 
 
-def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int, special: bool = False) -> None:
+def write_store(
+    docs: DataFrame, tokenizer: str, path: str, partitions: int, special: bool = False, known: int | None = None
+) -> None:
     """Encode every whole text and write ``(part, seq, offset, doc_ids, counts, segment)`` rows to ``path``.
 
     ``offset`` counts the ids before a segment within its partition. Each document is followed
     by the id ``END_ID``; null and empty texts are just that. Equal doc_ids are ordered by a
     hash of their texts, then by the texts; a null doc_id comes first. A segment holds whole
-    documents, about ``SEGMENT_TOKENS`` tokens, or one longer document. ``special`` is that of
-    the encoder.
+    documents, about ``SEGMENT_TOKENS`` tokens, or one longer document. ``special`` and ``known``
+    are those of the encoder.
     """
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = dict(docs.dtypes)["doc_id"]
@@ -120,7 +122,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int, spe
         part, seq, offset = TaskContext.get().partitionId(), 0, 0
         held: list = []
         size = 0
-        for doc_ids, counts, ids in _encoded(batches, tokenizer, special):
+        for doc_ids, counts, ids in _encoded(batches, tokenizer, special, known):
             held.append((doc_ids, counts, ids))
             size += len(ids)
             if size >= SEGMENT_TOKENS:
@@ -139,9 +141,11 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, partitions: int, spe
     ordered.mapInArrow(segments, schema).write.parquet(path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, special: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _encoded(
+    batches: Iterator[pa.RecordBatch], tokenizer: str, special: bool, known: int | None
+) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Document ids, token counts and ids of slices of documents, end ids included."""
-    encode = encoder(tokenizer, special).encode
+    encode = encoder(tokenizer, special, known).encode
     for whole in batches:
         for at in range(0, len(whole), _ROWS):  # few texts at a time become Python strings
             batch = whole.slice(at, _ROWS)
@@ -237,7 +241,7 @@ def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def encoded_documents(
-    docs: DataFrame, tokenizer: str, partitions: int | None = None, special: bool = False
+    docs: DataFrame, tokenizer: str, partitions: int | None = None, special: bool = False, known: int | None = None
 ) -> DataFrame:
     """Write ``docs`` to a store in the shared folder and return its documents as read back.
 
@@ -246,5 +250,5 @@ def encoded_documents(
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_folder(spark)}/emberday/token-store-{spark.sql('select uuid()').first()[0]}"
-    write_store(docs, tokenizer, path, partitions, special)
+    write_store(docs, tokenizer, path, partitions, special, known)
     return read_documents(spark.read.parquet(path))

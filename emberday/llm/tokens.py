@@ -1,8 +1,9 @@
 """Token ids of whole texts from a tokenizer file, with repeated words looked up.
 
 A byte-level BPE never merges across a single space between two non-space characters: the
-space opens the next word. Texts are cut there, each distinct word is encoded once per
-worker by the tokenizers library, and the ids of a text are the ids of its words.
+space opens the next word. Texts are cut there, each distinct word is encoded by the tokenizers
+library when a worker first meets it, and the ids of a text are the ids of its words. Most words
+of a corpus are met once; a worker's table is kept small by keeping those met again.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 
+# Above so many known words those met only once are forgotten.
 MAX_KNOWN = 900_000
 # Letters below this sign are letters in every version of Unicode the libraries may follow.
 _SURE_LETTERS = "\u0250"
@@ -66,6 +68,12 @@ class Codes(dict):
         self._fresh.append(word)
         return code
 
+    def kept(self, codes: np.ndarray) -> Codes:
+        """These words alone, given by their numbers in ascending order, numbered from 0."""
+        words, fewer = list(self), Codes()
+        fewer.update((words[code], new) for new, code in enumerate(codes.tolist()))
+        return fewer
+
     def take(self) -> list[str]:
         """Words met since the last call, in the order of their numbers."""
         fresh, self._fresh = self._fresh, []
@@ -103,13 +111,15 @@ class Encoder:
     """``encode`` gives the ids ``tokenizers`` gives for every text.
 
     With ``special`` the file's added tokens are found in texts, as the library does by itself;
-    else they are plain text. They hold no space, so words still are encoded alone.
+    else they are plain text. They hold no space, so words still are encoded alone. ``known`` words
+    are remembered, at some 200 bytes each; how many changes time and memory alone.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str, special: bool = False, known: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self._known = MAX_KNOWN if known is None else known
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not special
         # letters are one pre-token of a byte-level BPE; the model then needs no pattern search
@@ -127,6 +137,20 @@ class Encoder:
         self._start = np.empty(0, np.int64)
         self._length = np.empty(0, np.int64)
         self._ids = np.empty(0, np.uint32)
+        self._met = np.empty(0, np.int64)
+
+    def _tidy(self) -> None:
+        """Forget words met once since the last time; never keep more than half the table."""
+        keep = np.flatnonzero(self._met > 1)
+        most = self._known // 2
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(-self._met[keep], most)[:most]])
+        self._codes = self._codes.kept(keep)
+        self._tails.clear()
+        self._ids, ends = self._gather(keep)
+        self._length = self._length[keep]
+        self._start = ends - self._length
+        self._met = np.zeros(len(keep), np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text; null is empty."""
@@ -150,11 +174,12 @@ class Encoder:
 
     def _look_up(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of all words, and where each text's words begin; unknown words are learned."""
-        if len(self._codes) > MAX_KNOWN:
-            self._clear()
+        if len(self._codes) > self._known:
+            self._tidy()
         cuts = np.cumsum([0, *map(len, words)])
         code = np.fromiter(map(self._codes.__getitem__, chain.from_iterable(words)), np.int64, cuts[-1])
         self._learn(self._codes.take())
+        self._met += np.bincount(code, minlength=len(self._met))
         return code, cuts
 
     def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +194,7 @@ class Encoder:
             self._start = np.concatenate([self._start, len(self._ids) + start])
             self._length = np.concatenate([self._length, length])
             self._ids = np.concatenate([self._ids, ids])
+            self._met = np.concatenate([self._met, np.zeros(len(words), np.int64)])
 
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of words in some order, and where those of each word begin and how many they are.
@@ -215,6 +241,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, special: bool = False) -> Encoder:
-    """One encoder per worker process, file and reading of special strings."""
-    return Encoder(path, special)
+def encoder(path: str, special: bool = False, known: int | None = None) -> Encoder:
+    """One encoder per worker process, file, reading of special strings and size of its table."""
+    return Encoder(path, special, known)
