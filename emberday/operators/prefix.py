@@ -26,6 +26,8 @@ CELLS = 512
 _SUMMARY = 40 * CELLS
 # A key with at most so many values is not cut: one task orders them.
 _ONE_CELL = 8 * CELLS
+# Rows meet the bounds of their key in so many parts of it, so that no task gets a whole key.
+_PARTS = 64
 
 
 def splitters(value: Column) -> Column:
@@ -51,13 +53,19 @@ def _celled(df: DataFrame, keys: Sequence[str], value: str, total: str) -> DataF
 
     Taking a total along keeps the summary on top of ``df``'s own aggregate, not of raw rows.
     Keys with few values are one cell, without a summary: of stations there may be millions.
+    Rows are never exchanged by the keys alone: a key is dealt into parts by a hash of the value.
     """
     if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"), F.sum(total).alias("_some"))
+        spread = [*keys, "_part"]
+        dealt = df.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(_PARTS)).cast("int"))
+        parts = dealt.groupBy(*spread).agg(F.count(F.lit(1)).alias("_values"), F.sum(total).alias("_some"))
+        sizes = parts.groupBy(*keys).agg(F.sum("_values").alias("_values"), F.sum("_some").alias("_some"))
         sizes = sizes.filter(F.col("_some").isNotNull())
-        crowded = df.join(sizes.filter(F.col("_values") > _ONE_CELL).select(*keys), list(keys), "left_semi")
+        large = sizes.filter(F.col("_values") > _ONE_CELL).select(*keys)
+        crowded = dealt.join(parts.select(*spread).join(large, list(keys), "left_semi"), spread, "left_semi")
         bounds = crowded.groupBy(*keys).agg(splitters(F.col(value)).alias("_bounds"))
-        bounded = df.join(sizes.select(*keys).join(bounds, list(keys), "left"), list(keys))
+        per_part = parts.select(*spread).join(sizes.select(*keys).join(bounds, list(keys), "left"), list(keys))
+        bounded = dealt.join(per_part, spread).drop("_part")
     else:
         found = df.agg(splitters(F.col(value)).alias("_bounds"), F.sum(total).alias("_some"))
         one = found.select(F.when(F.col("_some").isNotNull(), F.col("_bounds"))).scalar()
