@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberday.session import written
+from emberday.session import release, written
 
 # A power of two: a value finds its cell in log2(CELLS) steps.
 CELLS = 512
@@ -80,10 +80,15 @@ def running_totals(
 
     ``df`` holds one row per (keys, value), neither null; ``value`` is numeric. The window
     inside the cells and the join of the offsets share one partitioning and order, so rows
-    are exchanged once.
+    are exchanged once. With keys, ``df`` and its cells are computed once, when this is called.
     """
     direction = F.desc if descending else F.asc
-    celled = _celled(df, keys, value, sums[0])
+    if keys:  # several steps read the rows, and two their cells
+        rows = written(df, "totals")
+        celled = written(_celled(rows, keys, value, sums[0]), "cells")
+        release(rows)
+    else:
+        celled = _celled(df, keys, value, sums[0])
     cells = celled.groupBy(*keys, "_cell").agg(*[F.sum(s).alias(s) for s in sums])
     per_key = W.partitionBy(*keys)
     earlier = per_key.orderBy(direction("_cell")).rowsBetween(W.unboundedPreceding, -1)

@@ -17,3 +17,10 @@ def test_a_key_is_spread_over_tasks_when_nothing_is_broadcast(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 20_000 and max(sizes) <= 10_000
+
+
+def test_totals_by_key_read_rows_that_were_made_once(spark):
+    rows = spark.range(100).select(F.lit("k").alias("k"), F.sqrt("id").alias("v"), F.lit(1).cast("long").alias("n"))
+    out = P.running_totals(rows, ["k"], "v", ["n"])
+    assert "SQRT(" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert [r.cum_n for r in out.orderBy("v").collect()] == list(range(1, 101))
